@@ -18,7 +18,9 @@ from __future__ import annotations
 import functools
 import hashlib
 import heapq
+import itertools
 import json
+import os
 import re
 
 import numpy as np
@@ -317,6 +319,35 @@ def encoder(path: str) -> RankArrayBPE:
     return RankArrayBPE(path)
 
 
+class LibraryBPE(RankArrayBPE):
+    """Cuts and caches words as above, but every distinct word is encoded by the ``tokenizers`` library.
+
+    A word of the pattern, encoded alone, gives the ids that it gives within its text; so whole texts get the
+    library's ids at the cost of their distinct words.
+    """
+
+    def __init__(self, path: str) -> None:
+        super().__init__(path)
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+
+    def encode_words(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        data = raw.tobytes()
+        words = [data[a:b].decode("utf-8") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        ids = [x.ids for x in self.library.encode_batch_fast(words, add_special_tokens=False)]
+        n_ids = np.fromiter(map(len, ids), np.int64, len(ids))
+        return n_ids, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(n_ids.sum()))
+
+
+@functools.cache
+def library_encoder(path: str) -> LibraryBPE:
+    return LibraryBPE(path)
+
+
 def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, ids array<int>) of every whole text."""
 
