@@ -33,9 +33,8 @@ CAPACITY = 1024
 END_ID = 2
 #: Rows of one length are ranked in so many separate sorts.
 SALTS = 64
-GROUPS = 48
-#: Lengths of at least capacity / this are large.
-LARGE_PART = 6
+#: (groups, p): lengths of at least capacity / p are large; 0 groups: all go best-fit.
+SHAPES = ((48, 2), (96, 3), (0, 1))
 
 
 def _knapsack(sizes: np.ndarray, values: np.ndarray, most: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -138,11 +137,11 @@ def _substitute(queues: list[list[list[int]]], config: np.ndarray, times: int, r
         times -= heads
 
 
-def plan(histogram: np.ndarray, capacity: int = CAPACITY, *, groups: int = GROUPS, large_part: int = LARGE_PART) -> list[tuple[int, list[tuple[int, int]]]]:
-    """histogram[n]: how many pieces of length n. Runs (bins, [(length, first rank), ...]) that hold each piece once.
+Runs = list[tuple[int, list[tuple[int, int]]]]
 
-    Without groups, all lengths go best-fit; of the two plans, the one with fewer sequences is taken.
-    """
+
+def plan_by(histogram: np.ndarray, capacity: int, groups: int, large_part: int) -> Runs:
+    """One plan; without groups, all lengths go best-fit."""
     counts = histogram.astype(np.int64)
     limit = max(2, -(-capacity // large_part)) if groups else capacity + 1
     ranks = np.zeros(capacity + 1, np.int64)
@@ -176,11 +175,15 @@ def plan(histogram: np.ndarray, capacity: int = CAPACITY, *, groups: int = GROUP
             ranks[n] += bins * per
             left -= bins * per
             by_room.setdefault(room - per * n, []).append((bins, places))
-    found = [run for own in by_room.values() for run in own]
-    if groups:
-        plain = plan(histogram, capacity, groups=0)
-        return min(found, plain, key=lambda runs: sum(bins for bins, _ in runs))
-    return found
+    return [run for own in by_room.values() for run in own]
+
+
+def plan(histogram: np.ndarray, capacity: int = CAPACITY, *, shapes: tuple[tuple[int, int], ...] = SHAPES) -> Runs:
+    """histogram[n]: how many pieces of length n. Runs (bins, [(length, first rank), ...]) that hold each piece once.
+
+    Of the plans by these (groups, large part), the first with the fewest sequences is taken.
+    """
+    return min((plan_by(histogram, capacity, *s) for s in shapes), key=lambda runs: sum(bins for bins, _ in runs))
 
 
 def places_table(runs: list[tuple[int, list[tuple[int, int]]]]) -> np.ndarray:
