@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, quality, simhash
+from . import bpe, packing, quality, secrets, simhash
 from ._shared import table
 
 #: Vocabulary of the byte-level operators.
@@ -31,7 +31,12 @@ def op10_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents")).drop("key")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_secret_scan": op2_secret_scan,
     "op3_bpe_roundtrip": op3_bpe_roundtrip,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_simhash_components": op8_simhash_components,
