@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, quality, secrets, simhash
+from . import bpe, packing, quality, secrets, simhash, tokenbin, urls, warc, wordpiece
 from ._shared import table
 
 #: Vocabulary of the byte-level operators.
@@ -35,9 +35,29 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op1_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.roundtrip(table(spark, sf_dir, "pages"))
+
+
+def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenbin.roundtrip(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
+def op5_word_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.count_documents(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_roundtrip": op1_warc_roundtrip,
     "op2_secret_scan": op2_secret_scan,
     "op3_bpe_roundtrip": op3_bpe_roundtrip,
+    "op4_token_shards": op4_token_shards,
+    "op5_word_piece_counts": op5_word_piece_counts,
+    "op6_url_filter": op6_url_filter,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_simhash_components": op8_simhash_components,
     "op10_line_frequency_rules": op10_line_frequency_rules,
