@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,5 +33,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once in an application, so that their Python workers can import it."""
+    context, top = spark.sparkContext, Path(__file__).resolve().parents[1]
+    if getattr(context, "_quernel_shipped", False):
+        return
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as out:
+        for p in sorted(top.rglob("*.py")):
+            out.write(p, p.relative_to(top.parent))
+    at = Path(tempfile.mkdtemp(prefix="quernel-code-")) / "quernel_code.zip"
+    at.write_bytes(data.getvalue())
+    context.addPyFile(str(at))
+    context._quernel_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -6,10 +6,12 @@ rejected URLs: each order's estimate is smoothed by the next shorter one, with c
 size. The score is the difference of log-likelihoods per character. The threshold is calibrated on accepted URLs
 that the models haven't seen, so that at most ``FALSE_BLOCKS`` of them would be blocked.
 
-The models are trained from labelled URLs: those in ``seed_urls`` (a bounded set made here), weighted to be
-``SEED_PART`` of what each model has seen, and all those of the table that a rule has decided, counted over every
-row by a partial aggregation. The tables have ``SLOTS`` numbers for each order: that bounds what is collected and
-broadcast, at every size of the input.
+The models are trained from labelled URLs: those of ``seed_urls``, a bounded set made here, and those of a table, if
+one is given to ``train`` (counted over all its rows by a partial aggregation, with the seeds weighted to be
+``SEED_PART`` of what each model has seen). The registered query trains from the seeds alone. Rows that a rule has
+decided were tried as labels and left out: a rule that blocks a whole domain says nothing of the words in its URLs,
+and with them clean URLs scored as high as some rejected ones. The count tables have ``SLOTS`` numbers for each
+order: that bounds what is collected and broadcast, at every size of the input.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path, no rule, and is allowed, as there is
 nothing to score; repeated rows get equal verdicts; extra columns are left out; an empty table gives no rows.
@@ -183,7 +185,7 @@ def judge(pages: DataFrame, *, rules: Iterable[tuple[str, str]] = RULES, model:
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"))
     rows = rows.withColumn("rule", match_rule(F.col("host"), F.col("path"), rules))
     blocked = F.col("rule").isin([r for r, v in rules if v == "block"])
-    model = model or train(rows.where("rule IS NOT NULL").select("url", blocked.alias("rejected")))
+    model = model or train()
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

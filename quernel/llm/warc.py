@@ -50,7 +50,7 @@ def train_dictionary(pages: DataFrame, *, html_col: str = "html", id_col: str =
     rows = pages.where(F.length(html_col) > 0).select(F.xxhash64(id_col, F.substring(html_col, 1, 64)).alias("h"), F.substring(html_col, 1, DICTIONARY_CHARS).alias("x"))
     samples = [r["x"].encode() for r in rows.orderBy("h", "x").limit(DICTIONARY_PAGES).collect()]
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=3, threads=0).as_bytes() if len(samples) >= 16 else b""
+        return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=512, d=8, level=3).as_bytes() if len(samples) >= 16 else b""
     except zstandard.ZstdError:
         return b""
 
