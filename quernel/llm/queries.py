@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, packing, quality, secrets, simhash, tokenbin, urls, warc, wordpiece
+from . import ann, bpe, packing, quality, secrets, simhash, tokenbin, urls, warc, wordpiece
 from ._shared import table
 
 #: Vocabulary of the byte-level operators.
@@ -27,6 +27,10 @@ def op8_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_hex(found["fp"]).alias("fingerprint"), "component_id")
 
 
+def op9_kmeans_tree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 def op10_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents")).drop("key")
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_url_filter": op6_url_filter,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_simhash_components": op8_simhash_components,
+    "op9_kmeans_tree_neighbours": op9_kmeans_tree_neighbours,
     "op10_line_frequency_rules": op10_line_frequency_rules,
 }
 
