@@ -1,13 +1,13 @@
 """Quality rules with cross-document line frequency (operator 10). DataFrame functions only.
 
-Lines are normalised (A-Z lower-cased, digits as 0, runs of white space as one space) and hashed, and for every host
+Lines are normalised (lower-cased, without white space at their ends) and hashed, and for every host
 the documents that hold a line are counted over all rows. A line above its host's limit is removed; a document is
 rejected if too little of it stays. The limit of a host is ``max(min_docs, share * documents of the host)``, so a
-large host needs more repeats than a small one. Lines of fewer than ``min_line_words`` words are never removed.
+large host needs more repeats than a small one. Lines of fewer than ``MIN_LINE_BYTES`` bytes are never removed.
 
 Exchanges: a document sends each distinct line once, and counts are partial before they are shuffled. Removed lines
 are by their nature the frequent ones, so the join back spreads every key over ``SALTS`` parts, with the few
-frequent lines repeated for each. Texts aren't shuffled at all, only hashes and word counts.
+frequent lines repeated for each. Texts aren't shuffled at all, only hashes and sizes.
 
 Base rules of a single document: too few words, or too many words in repeated three-word windows. A window's 64-bit
 hash stands for it.
@@ -26,14 +26,16 @@ MAX_REPEAT_PERCENT = 50
 #: A line is removed if more documents of its host hold it than both of these.
 MIN_DOCS = 20
 SHARE = 0.05
-MIN_LINE_WORDS = 3
-#: A document is rejected if fewer words than this, or a smaller part of its words, stay.
-LEAST_WORDS = 25
+MIN_LINE_BYTES = 16
+#: A document that loses lines is rejected if fewer bytes of lines than this, or a smaller part of them, stay.
+LEAST_BYTES = 150
 LEAST_PART = 0.5
+#: Up to so many different repeated windows are looked up one by one; beyond, windows are sorted with their places.
+FEW = 48
 SALTS = 32
 SPACE = "[\\x20\\x09-\\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 
 
 def words_of(text: Column) -> Column:
@@ -43,45 +45,50 @@ def words_of(text: Column) -> Column:
 
 def lines_of(text: Column) -> Column:
     """Lines with a word."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.translate(x, BLANKS, "") != "")
+    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
 
 
 def normalised(line: Column) -> Column:
-    # regexp_replace with ASCII classes only, so that letters of other scripts stay
-    low = F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", "abcdefghijklmnopqrstuvwxyz000000000")
-    return F.trim(F.regexp_replace(low, SPACE, " "))
+    return F.btrim(F.lower(line), F.lit(BLANKS))
 
 
-def windows_of(words: Column) -> Column:
-    """(hash, place) of every three-word window."""
-    n = F.greatest(F.size(words) - 2, F.lit(0))
-    return F.transform(F.slice(words, 1, n), lambda w, i: F.struct(F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i")))
+def covered(places: Column) -> Column:
+    """Words that three-word windows at these rising places cover: min(3, gap) each, and 3 at the last."""
+    n = F.greatest(F.size(places) - 1, F.lit(0))
+    gaps = F.zip_with(F.slice(places, F.lit(2), n), F.slice(places, F.lit(1), n), lambda b, a: F.least(b - a, F.lit(3)))
+    return F.when(F.size(places) == 0, F.lit(0).cast("long")).otherwise(F.aggregate(gaps, F.lit(3).cast("long"), lambda s, g: s + g))
 
 
 def base_columns(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed.
+
+    Each helper array is a column of its own, so that no expression works it out twice.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    bare = F.translate(text, BLANKS, "")
-    lines = F.col("`__lines`")
+    words, lines, hashes, ranked, twice = (F.col(f"`__{x}`") for x in ("words", "lines", "hashes", "ranked", "twice"))
+    n = F.greatest(F.size(words) - 2, F.lit(0))
     out = docs.withColumn("__words", words_of(text)).withColumn("__lines", lines_of(text))
-    # windows sorted by hash: equal neighbours are the repeats; their places, sorted, cover min(3, gap) words each
-    out = out.withColumn("__windows", F.sort_array(windows_of(F.col("`__words`"))))
-    w = F.col("`__windows`")
+    out = out.withColumn("__hashes", F.transform(F.slice(words, F.lit(1), n), lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2))))
+    out = out.withColumn("__ranked", F.sort_array(hashes))
+    out = out.withColumn("__twice", F.array_distinct(F.filter(ranked, lambda x, i: x == F.get(ranked, i - 1))))
+    # few repeated windows: their places by lookup; many: windows sorted with their places, equal neighbours are repeats
+    few = F.filter(F.transform(hashes, lambda h, i: F.when(F.array_contains(twice, h), i)), lambda i: i.isNotNull())
+    paired = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    out = out.withColumn("__paired", F.when(F.size(twice) > FEW, paired))
+    pairs = F.col("`__paired`")
     same = lambda x, other: F.coalesce(x["h"] == other["h"], F.lit(False))
-    hit = F.filter(w, lambda x, i: same(x, F.get(w, i - 1)) | same(x, F.get(w, i + 1)))
-    out = out.withColumn("__hit", F.sort_array(F.transform(hit, lambda x: x["i"])))
-    places = F.col("`__hit`")
-    gaps = F.zip_with(F.slice(places, 2, F.greatest(F.size(places) - 1, F.lit(0))), F.slice(places, 1, F.greatest(F.size(places) - 1, F.lit(0))), lambda b, a: F.least(b - a, F.lit(3)))
-    covered = F.when(F.size(places) == 0, F.lit(0).cast("long")).otherwise(F.aggregate(gaps, F.lit(3).cast("long"), lambda s, g: s + g))
+    many = F.sort_array(F.transform(F.filter(pairs, lambda x, i: same(x, F.get(pairs, i - 1)) | same(x, F.get(pairs, i + 1))), lambda x: x["i"]))
+    places = F.when(F.size(twice) == 0, F.expr("cast(array() as array<int>)")).when(F.size(twice) > FEW, many).otherwise(few)
+    out = out.withColumn("__places", places)
     out = (
-        out.withColumn("n_words", F.size("`__words`").cast("long"))
-        .withColumn("word_chars", F.length(bare).cast("long"))
-        .withColumn("n_symbols", (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"))
+        out.withColumn("n_words", F.size(words).cast("long"))
+        .withColumn("word_chars", F.length(F.array_join(words, "")).cast("long"))
+        .withColumn("n_symbols", F.regexp_count(text, F.lit(SYMBOLS)).cast("long"))
         .withColumn("n_dup_lines", (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"))
-        .withColumn("n_repeat_words", covered)
+        .withColumn("n_repeat_words", covered(F.col("`__places`")))
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return out.withColumn("base_failed", failed).drop("__words", "__lines", "__windows", "__hit")
+    return out.withColumn("base_failed", failed).drop("__words", "__lines", "__hashes", "__ranked", "__twice", "__paired", "__places")
 
 
 def line_hash(normal: Column) -> Column:
@@ -89,43 +96,43 @@ def line_hash(normal: Column) -> Column:
 
 
 def line_sets(docs: DataFrame, *, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """(doc, key, host, every): the hash and word count of each of a row's lines."""
+    """(doc, key, host, every): the hash and bytes of each of a row's lines that are long enough."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     host = F.col(host_col).cast("string")
-    every = F.transform(lines_of(text), normalised)
-    every = F.transform(every, lambda x: F.struct(line_hash(x).alias("line"), (F.length(x) - F.length(F.translate(x, " ", "")) + 1).alias("words")))
-    every = F.filter(every, lambda x: x["words"] >= MIN_LINE_WORDS)
-    out = docs.select(F.col(id_col).alias("doc"), F.xxhash64(host, text).alias("key"), host.alias("host"), every.alias("every"))
-    return out.where(F.size("every") > 0)
+    every = F.transform(F.split(text, "\n"), normalised)
+    every = F.transform(every, lambda x: F.struct(line_hash(x).alias("line"), F.octet_length(x).alias("size")))
+    every = F.filter(every, lambda x: x["size"] >= MIN_LINE_BYTES)
+    return docs.select(F.col(id_col).alias("doc"), F.xxhash64(host, text).alias("key"), host.alias("host"), every.alias("every"))
 
 
 def frequent_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
     """(host, line, docs): the lines above their host's limit."""
     sets = line_sets(docs, id_col=id_col, text_col=text_col, host_col=host_col)
-    counts = sets.select("host", F.explode(F.array_distinct(F.col("every.line"))).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > min_docs)
+    # explode() would infer a filter on the array's size, which is pushed below and makes the array there once more
+    counts = sets.select("host", F.explode_outer(F.array_distinct(F.col("every.line"))).alias("line")).where("line IS NOT NULL").groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > min_docs)
     hosts = docs.groupBy(F.col(host_col).cast("string").alias("h")).agg(F.count(F.lit(1)).alias("size"))
     return counts.join(hosts, counts["host"].eqNullSafe(hosts["h"])).where(F.col("docs") > F.col("size") * share).select("host", "line", "docs")
 
 
 def verdicts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE, salts: int = SALTS, with_lines: bool = False) -> DataFrame:
-    """A row for each row of docs: its id, the base columns, removed_words, base_failed and kept."""
+    """A row for each row of docs: its id, the base columns, removed_bytes, base_failed and kept."""
     frequent = frequent_lines(docs, id_col=id_col, text_col=text_col, host_col=host_col, min_docs=min_docs, share=share)
     frequent = frequent.select(F.col("host").alias("h"), F.col("line").alias("l"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("s"))
     sets = line_sets(docs, id_col=id_col, text_col=text_col, host_col=host_col)
-    lines = sets.select("doc", "key", "host", F.explode("every").alias("x")).select("doc", "key", "host", "x.line", "x.words")
+    lines = sets.select("doc", "key", "host", F.explode_outer("every").alias("x")).where("x IS NOT NULL").select("doc", "key", "host", "x.line", "x.size")
     lines = lines.withColumn("salt", F.pmod(F.xxhash64("doc", "key"), F.lit(salts)).cast("int"))
     on = lines["host"].eqNullSafe(frequent["h"]) & (lines["line"] == frequent["l"]) & (lines["salt"] == frequent["s"])
-    removed = lines.join(frequent, on, "left_semi").groupBy("doc", "key").agg(F.sum("words").alias("removed"), *[F.collect_set("line").alias("lines")] * with_lines)
+    removed = lines.join(frequent, on, "left_semi").groupBy("doc", "key").agg(F.sum("size").alias("removed"), *[F.collect_set("line").alias("lines")] * with_lines)
     text, host = F.coalesce(F.col(text_col), F.lit("")), F.col(host_col).cast("string")
-    base = base_columns(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(host, text).alias("key"))).drop("text")
+    base = base_columns(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(host, text).alias("key"), F.octet_length(text).cast("long").alias("size"))).drop("text")
     # repeated rows have one key: each gets its part of the sum
     copies = base.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "copies")
     removed = removed.join(copies, removed["doc"].eqNullSafe(copies["d"]) & (removed["key"] == copies["k"]), "left").select("doc", F.col("key").alias("k2"), (F.col("removed") / F.coalesce("copies", F.lit(1))).cast("long").alias("removed"), *["lines"] * with_lines)
     out = base.join(removed, base["doc_id"].eqNullSafe(removed["doc"]) & (base["key"] == removed["k2"]), "left")
-    out = out.withColumn("removed_words", F.coalesce("removed", F.lit(0).cast("long")))
-    stays = F.col("n_words") - F.col("removed_words")
-    depleted = (F.col("removed_words") > 0) & ((stays < LEAST_WORDS) | (stays < LEAST_PART * F.col("n_words")))
-    return out.withColumn("kept", ~(F.col("base_failed") | depleted)).select("doc_id", "key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words", "base_failed", "kept", *["lines"] * with_lines)
+    out = out.withColumn("removed_bytes", F.coalesce("removed", F.lit(0).cast("long")))
+    stays = F.col("size") - F.col("removed_bytes")
+    depleted = (F.col("removed_bytes") > 0) & ((stays < LEAST_BYTES) | (stays < LEAST_PART * F.col("size")))
+    return out.withColumn("kept", ~(F.col("base_failed") | depleted)).select("doc_id", "key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_bytes", "base_failed", "kept", *["lines"] * with_lines)
 
 
 def clean_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", length_col: str | None = None, **limits) -> DataFrame:

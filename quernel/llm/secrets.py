@@ -244,7 +244,8 @@ def scan(docs: DataFrame, forest: Forest | None = None, *, id_col: str = "doc_id
     forest = forest or built_in_forest(docs.sparkSession)
     columns = list(dict.fromkeys([id_col, text_col, *([path_col] if path_col else [])]))
     found = with_candidates(docs.select(*columns), forest, text_col=text_col, path_col=path_col)
-    out = found.select(F.col(id_col), F.explode("__found").alias("x"))
+    # explode() would infer a filter on the array's size, which is pushed below and makes the array there once more
+    out = found.select(F.col(id_col), F.explode_outer("__found").alias("x")).where("x IS NOT NULL")
     return out.select(id_col, "x.start", F.length("x.value").cast("long").alias("length"), "x.value", "x.score", (F.col("x.score") >= threshold).alias("is_secret"))
 
 
