@@ -11,8 +11,10 @@ however many documents there are, so the plan is made on the driver in bounded m
 4. small ones go best-fit, longest first, into the room that is left, many equal bins at a time.
 
 A plan is a list of runs: ``bins`` equal sequences, and for each place a length and the first rank of that length
-that goes there. The documents find their places by rank: rows are ranked within (length, salt) and shifted by the
-counts of the salts before, so that a length that a third of all rows share isn't sorted in one task.
+that goes there. The documents find their places by rank: the task that cuts a piece numbers it within its part and
+length, and the counts of the parts before are added, so pieces are neither sorted nor shuffled by length, and a
+length that a third of all rows share costs no task more than another. The counts (parts times lengths, of which
+there are ``capacity``) are broadcast up to ``MOST_BROADCAST`` rows and joined by a shuffle beyond.
 
 Edge cases: a null or empty text still has its end id, so it is a piece of length 1; repeated rows are packed as
 often as they come; an empty table gives no rows; further columns of the input are left out.
@@ -24,15 +26,16 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ._shared import cut, new_folder
+from ._shared import new_folder
 from .bpe import library_encoder
 
 CAPACITY = 1024
 END_ID = 2
-#: Rows of one length are ranked in so many separate sorts.
-SALTS = 64
+#: Counts of (part, length) are broadcast up to so many rows, of 24 bytes each.
+MOST_BROADCAST = 1 << 19
 #: (groups, p): lengths of at least capacity / p are large; 0 groups: all go best-fit.
 SHAPES = ((48, 2), (96, 3), (0, 1))
 
@@ -200,57 +203,63 @@ def places_table(runs: list[tuple[int, list[tuple[int, int]]]]) -> np.ndarray:
 
 
 def pieces(docs: DataFrame, path: str, *, capacity: int = CAPACITY, end_id: int | None = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """A row for each piece: doc_id, piece, start, length, ids_crc32 (and its ids, if asked for)."""
+    """A row for each piece: doc_id, piece, start, length, ids_crc32, its part and rank in it (and its ids, if asked for).
+
+    The rank counts the pieces of the same length that its task made before.
+    """
     tail = np.array([] if end_id is None else [end_id], np.uint32)
 
     def run(batches):
-        bpe = library_encoder(path)
+        bpe, part = library_encoder(path), TaskContext.get().partitionId()
+        seen = [0] * (capacity + 1)
         for batch in batches:
             names = batch.column(0).to_pylist()
             i = 0
             for ids, offsets in bpe.encode(batch.column(1)):
-                out: list[list] = [[], [], [], [], [], []]
+                out: list[list] = [[], [], [], [], [], [], []]
+                spans: list[np.ndarray] = []
                 for a, b in zip(offsets[:-1], offsets[1:], strict=True):
                     own = np.concatenate((ids[a:b], tail))
                     data, n = own.astype("<u4").tobytes(), len(own)
+                    spans.append(own)
                     first = n % capacity or min(n, capacity)
                     at, k = 0, 0
                     while at < n:
                         size = first if k == 0 else capacity
-                        for column, value in zip(out, (names[i], k, at, size, zlib.crc32(data[4 * at : 4 * (at + size)]), own[at : at + size].astype(np.int32) if with_ids else None), strict=True):
+                        for column, value in zip(out, (names[i], k, at, size, zlib.crc32(data[4 * at : 4 * (at + size)]), part, seen[size]), strict=True):
                             column.append(value)
+                        seen[size] += 1
                         at, k = at + size, k + 1
                     i += 1
-                kinds = (batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
-                cols = [pa.array(c, t) for c, t in zip(out, kinds, strict=True)][: 6 if with_ids else 5]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(cols)])
+                kinds = (batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+                cols = [pa.array(c, t) for c, t in zip(out, kinds, strict=True)]
+                if with_ids:
+                    ends = pa.array(np.append(0, np.cumsum(out[3])).astype(np.int32))
+                    cols.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*spans, tail[:0]]).astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank", "ids"][: len(cols)])
 
     frame = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return frame.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return frame.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long" + ", ids array<int>" * with_ids)
 
 
-def assign(cut_pieces: DataFrame, *, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
-    """cut_pieces: rows with doc_id, piece and length (1 to capacity), read from files. Adds sequence_id and offset."""
+def assign(cut_pieces: DataFrame, *, capacity: int = CAPACITY, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """cut_pieces: rows with length (1 to capacity), part and rank, read from files. part and rank give way to sequence_id and offset."""
     spark = cut_pieces.sparkSession
-    salt = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int")
-    rows = cut_pieces.withColumn("salt", salt)
-    # capacity * salts numbers at most
-    counts = np.zeros((capacity + 1, salts), np.int64)
-    for r in rows.groupBy("length", "salt").count().collect():
-        counts[r["length"], r["salt"]] = r["count"]
-    histogram = counts.sum(axis=1)
+    counts = cut_pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
+    histogram = np.zeros(capacity + 1, np.int64)
+    n_counts = 0
+    for r in counts.groupBy("length").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).collect():  # capacity rows at most
+        histogram[r["length"]], n_counts = r["n"], n_counts + r["parts"]
     histogram[capacity] = 0
     table = places_table(plan(histogram, capacity))
-    n_packed = int(histogram.sum())  # there are no more sequences than pieces: full ones are numbered beyond
-    base = np.cumsum(counts, axis=1) - counts
-    shared = spark.sparkContext.broadcast((table, base, n_packed))  # both bounded by capacity and salts alone
+    beyond = int(histogram.sum())  # there are no more sequences than pieces: full ones are numbered beyond
+    shared = spark.sparkContext.broadcast(table)  # bounded by the capacity alone
 
     def run(batches):
-        table, base, beyond = shared.value
+        table = shared.value
         key = table[:, 0] << 44 | table[:, 1]
         for batch in batches:
-            length, salt, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy().astype(np.int64) for c in ("length", "salt", "rank"))
-            rank = base[length, salt] + rank - 1
+            length, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy().astype(np.int64) for c in ("length", "rank"))
             if len(table):
                 at = np.maximum(np.searchsorted(key, length << 44 | rank, "right") - 1, 0)
                 sequence, offset = table[at, 2] + rank - table[at, 1], table[at, 3]
@@ -258,13 +267,16 @@ def assign(cut_pieces: DataFrame, *, capacity: int = CAPACITY, salts: int = SALT
                 sequence, offset = rank, np.zeros(len(rank), np.int64)
             full = length == capacity
             sequence, offset = np.where(full, beyond + rank, sequence), np.where(full, 0, offset)
-            keep = [batch.column(i) for i, n in enumerate(batch.schema.names) if n not in ("salt", "rank")]
-            names = [n for n in batch.schema.names if n not in ("salt", "rank")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
-
-    window = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", *[c for c in ("start", "ids_crc32") if c in rows.columns])
-    ranked = rows.withColumn("rank", F.row_number().over(window))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut_pieces.schema.fields)
+            keep = [n for n in batch.schema.names if n != "rank"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(sequence), pa.array(offset)], [*keep, "sequence_id", "offset"])
+
+    earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    if n_counts <= most_broadcast:
+        base = F.broadcast(base)
+    keep = [f for f in cut_pieces.schema.fields if f.name not in ("part", "rank")]
+    ranked = cut_pieces.join(base, ["part", "length"]).select(*[f"`{f.name}`" for f in keep], (F.col("rank") + F.col("before")).alias("rank"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep)
     return ranked.mapInArrow(run, f"{kinds}, sequence_id long, offset long")
 
 
@@ -272,7 +284,5 @@ def pack_documents(docs: DataFrame, path: str, *, capacity: int = CAPACITY, end_
     """Pieces of all documents with their places: doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset."""
     spark = docs.sparkSession
     rows = pieces(docs, path, capacity=capacity, end_id=end_id, id_col=id_col, text_col=text_col, with_ids=with_ids)
-    if with_ids:
-        rows.write.parquet(folder := new_folder(spark, "pieces"))
-        return assign(spark.read.parquet(folder), capacity=capacity)
-    return assign(cut(rows), capacity=capacity)
+    rows.write.parquet(folder := new_folder(spark, "pieces"))
+    return assign(spark.read.schema(rows.schema).parquet(folder), capacity=capacity)

@@ -27,7 +27,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ._shared import cut
 from ._words import chunks, text_buffer
@@ -88,8 +88,8 @@ def fingerprint_array(texts: list[bytes], width: int) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel().astype(np.uint64)
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """(doc_id long, fp long) of every row: bytes.lower() and bytes.split() are the ASCII rules of the contract."""
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, key: Column | None = None) -> DataFrame:
+    """(doc_id long, fp long[, key long]) of every row: bytes.lower() and bytes.split() are the ASCII rules of the contract."""
 
     def run(batches):
         for batch in batches:
@@ -97,9 +97,11 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             data = raw.tobytes()
             for i, j in chunks(offsets):
                 fp = fingerprint_array([data[a:b] for a, b in zip(offsets[i:j], offsets[i + 1 : j + 1], strict=True)], width)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+                rest = [batch.column(k).slice(i, j - i) for k in range(2, batch.num_columns)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(fp.view(np.int64)), *rest], ["doc_id", "fp", "key"][: 2 + len(rest)])
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, "doc_id long, fp long")
+    more = [] if key is None else [key.alias("key")]
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), *more).mapInArrow(run, "doc_id long, fp long" + ", key long" * len(more))
 
 
 def flips(low: int, high: int, most: int) -> list[tuple[int, int]]:
@@ -228,12 +230,16 @@ def connected(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
 
 
+def rooted(fps: DataFrame, radius: int = 4, *, bucket_variants: int = BUCKET_VARIANTS) -> DataFrame:
+    """fps: rows with fp, each once, already cut. Adds root: the smallest fingerprint of its component."""
+    roots = connected(star_edges(fps.select("fp"), radius, bucket_variants=bucket_variants))
+    return fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def components(prints: DataFrame, radius: int = 4, *, bucket_variants: int = BUCKET_VARIANTS) -> DataFrame:
     """prints: (doc_id, fp), already cut. Returns (fp, component_id) of every distinct fingerprint."""
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected(star_edges(distinct.select("fp"), radius, bucket_variants=bucket_variants))
-    placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    placed = cut(placed)
+    placed = cut(rooted(distinct, radius, bucket_variants=bucket_variants))
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     return placed.join(named, "root").select("fp", "component_id")
 
@@ -244,5 +250,22 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return prints.join(components(prints, radius), "fp").select("doc_id", "fp", "component_id")
 
 
+def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
+    """One row of each component, with all columns of docs: that with the smallest id (a null id comes last), and of
+    rows with one id the first by a hash of its text. Texts meet the chosen rows by id and hash, once.
+    """
+    key = F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.col(text_col).isNull(), F.col(text_col))
+    prints = cut(fingerprints(docs, id_col=id_col, text_col=text_col, width=width, key=key))
+    least = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("key").alias("key"))
+    distinct = cut(prints.groupBy("fp").agg(F.min(least).alias("least")))
+    chosen = rooted(distinct, radius).groupBy("root").agg(F.min("least").alias("x"))
+    number = lambda c: F.coalesce(c.cast("long"), F.lit(0).cast("long"))
+    chosen = cut(chosen.select(number(F.col("x.id")).alias("__id"), F.col("x.key").alias("__key")))
+    rows = docs.withColumn("__id", number(F.col(id_col))).withColumn("__key", key).join(chosen, ["__id", "__key"], "left_semi")
+    # rows that are equal in id and text are one document
+    order = Window.partitionBy("__id", "__key").orderBy(F.lit(0))
+    return rows.withColumn("__n", F.row_number().over(order)).where(F.col("__n") == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def fingerprint_hex(fp) -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
