@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset, as in tests, a temporary one is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder of spark.checkpoint.dir; where that is unset, as in tests, a temporary one is made."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="quernel-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(found)
     return found.rstrip("/")
 
 
