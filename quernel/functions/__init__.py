@@ -1 +1 @@
-"""Part of the engine; see the README."""
+"""Date patterns and bucket numbers."""

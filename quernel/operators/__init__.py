@@ -1 +1 @@
-"""Part of the engine; see the README."""
+"""Table changes and DataFrame helpers."""

@@ -1 +1 @@
-"""Part of the engine; see the README."""
+"""Lexer, parser, syntax tree, and emission of Spark SQL."""

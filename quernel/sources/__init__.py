@@ -1 +1 @@
-"""Part of the engine; see the README."""
+"""Parquet tables, the catalog, and state in the shared folder."""

@@ -1 +1 @@
-"""Part of the engine; see the README."""
+"""Empty on purpose: the dialect has no streams, watermarks or stateful operators."""
