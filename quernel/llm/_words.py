@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are worked on in buffers of about so many bytes.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 _MULT = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
@@ -92,7 +92,7 @@ class WordCache:
     At ``limit`` words it starts anew, so its memory is bounded; no result depends on it.
     """
 
-    def __init__(self, dtype, limit: int = 1_500_000) -> None:
+    def __init__(self, dtype, limit: int = 1_000_000) -> None:
         self.dtype, self.limit = dtype, limit
         self.clear()
 

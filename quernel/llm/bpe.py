@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from ._words import CHUNK_BYTES, SpanHasher, WordCache, chunks, gather_spans, text_buffer
 
 LONG_WORD = 48
+#: Words that the library encodes at once.
+BLOCK_WORDS = 4096
 NONE = np.int32(2**31 - 1)
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 
@@ -337,10 +339,13 @@ class LibraryBPE(RankArrayBPE):
 
     def encode_words(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         data = raw.tobytes()
-        words = [data[a:b].decode("utf-8") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-        ids = [x.ids for x in self.library.encode_batch_fast(words, add_special_tokens=False)]
-        n_ids = np.fromiter(map(len, ids), np.int64, len(ids))
-        return n_ids, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(n_ids.sum()))
+        sizes, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        for at in range(0, len(starts), BLOCK_WORDS):  # an encoding of the library is far larger than its ids
+            words = [data[a:b].decode("utf-8") for a, b in zip(starts[at : at + BLOCK_WORDS].tolist(), ends[at : at + BLOCK_WORDS].tolist(), strict=True)]
+            ids = [x.ids for x in self.library.encode_batch_fast(words, add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            flat.append(np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(sizes[-1].sum())))
+        return np.concatenate(sizes), np.concatenate(flat)
 
 
 @functools.cache

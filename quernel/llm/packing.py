@@ -253,31 +253,21 @@ def assign(cut_pieces: DataFrame, *, capacity: int = CAPACITY, most_broadcast: i
     histogram[capacity] = 0
     table = places_table(plan(histogram, capacity))
     beyond = int(histogram.sum())  # there are no more sequences than pieces: full ones are numbered beyond
-    shared = spark.sparkContext.broadcast(table)  # bounded by the capacity alone
-
-    def run(batches):
-        table = shared.value
-        key = table[:, 0] << 44 | table[:, 1]
-        for batch in batches:
-            length, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy().astype(np.int64) for c in ("length", "rank"))
-            if len(table):
-                at = np.maximum(np.searchsorted(key, length << 44 | rank, "right") - 1, 0)
-                sequence, offset = table[at, 2] + rank - table[at, 1], table[at, 3]
-            else:
-                sequence, offset = rank, np.zeros(len(rank), np.int64)
-            full = length == capacity
-            sequence, offset = np.where(full, beyond + rank, sequence), np.where(full, 0, offset)
-            keep = [n for n in batch.schema.names if n != "rank"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(sequence), pa.array(offset)], [*keep, "sequence_id", "offset"])
-
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     if n_counts <= most_broadcast:
         base = F.broadcast(base)
-    keep = [f for f in cut_pieces.schema.fields if f.name not in ("part", "rank")]
-    ranked = cut_pieces.join(base, ["part", "length"]).select(*[f"`{f.name}`" for f in keep], (F.col("rank") + F.col("before")).alias("rank"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep)
-    return ranked.mapInArrow(run, f"{kinds}, sequence_id long, offset long")
+    # a length has few runs, and there are capacity lengths at most: each row looks its own up without leaving the JVM
+    runs: dict[int, list] = {}
+    for n, first, sequence, offset in table.tolist():
+        runs.setdefault(n, []).append((first, sequence, offset))
+    places = F.broadcast(spark.createDataFrame(list(runs.items()), "length long, runs array<struct<first: bigint, sequence: bigint, offset: bigint>>"))
+    ranked = cut_pieces.join(base, ["part", "length"]).withColumn("rank", F.col("rank") + F.col("before")).join(places, "length", "left")
+    ranked = ranked.withColumn("place", F.expr("element_at(filter(runs, r -> r.first <= rank), -1)"))
+    full = F.col("length") == capacity
+    sequence = F.when(full, F.col("rank") + beyond).otherwise(F.col("place.sequence") + F.col("rank") - F.col("place.first"))
+    offset = F.when(full, F.lit(0).cast("long")).otherwise(F.col("place.offset"))
+    return ranked.select(*[f"`{f.name}`" for f in cut_pieces.schema.fields if f.name not in ("part", "rank")], sequence.alias("sequence_id"), offset.alias("offset"))
 
 
 def pack_documents(docs: DataFrame, path: str, *, capacity: int = CAPACITY, end_id: int | None = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
