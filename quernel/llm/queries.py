@@ -68,4 +68,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_frequency_rules": op10_line_frequency_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Base32 of a SHA-1, by groups of five bits.
+_WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+s AS (SELECT page_id, h, sha1(h) AS x, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(x, CAST(1 + 10 * (i // 8) AS INT), 10) AS BIGINT) >> CAST(35 - 5 * (i % 8) AS INT)) & 31) AS INT), 1)), '') AS payload_digest,
+  CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first OR page_id IS NULL THEN first END AS refers_to
+FROM s
+"""
+_QUALITY = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
+wins AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS win FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)),
+hits AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, win) AS c FROM wins) WHERE c > 1),
+cover AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM hits) GROUP BY rid),
+lines AS (SELECT rid, source, trim(lower(x), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM (SELECT rid, source, unnest(string_split(t, chr(10))) AS x FROM d)),
+long AS (SELECT * FROM lines WHERE strlen(line) >= {quality.MIN_LINE_BYTES}),
+hosts AS (SELECT source, count(*) AS size FROM d GROUP BY source),
+often AS (SELECT f.source, f.line FROM (SELECT source, line, count(DISTINCT rid) AS docs FROM long GROUP BY source, line) f JOIN hosts h ON f.source IS NOT DISTINCT FROM h.source WHERE docs > {quality.MIN_DOCS} AND docs > size * {quality.SHARE}),
+gone AS (SELECT rid, CAST(sum(strlen(long.line)) AS BIGINT) AS n FROM long JOIN often ON long.source IS NOT DISTINCT FROM often.source AND long.line = often.line GROUP BY rid),
+base AS (
+  SELECT d.rid, doc_id, strlen(t) AS size, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+    coalesce(cover.n, 0) AS n_repeat_words, coalesce(gone.n, 0) AS removed_bytes
+  FROM d JOIN w ON d.rid = w.rid LEFT JOIN cover ON d.rid = cover.rid LEFT JOIN gone ON d.rid = gone.rid),
+judged AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM base)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, removed_bytes, base_failed,
+  NOT (base_failed OR removed_bytes > 0 AND (size - removed_bytes < {quality.LEAST_BYTES} OR size - removed_bytes < {quality.LEAST_PART} * size)) AS kept
+FROM judged
+"""
+
+#: What SQL can express: the others need a tokenizer, XXH64 or a trained model, and are tested against plain Python.
+ORACLE_SQL: dict[str, str] = {"op1_warc_roundtrip": _WARC, "op10_line_frequency_rules": _QUALITY}
