@@ -6,6 +6,8 @@ numpy passes over the buffer instead of a Python loop over words.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -15,6 +17,15 @@ _MULT = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
 
+def give_back() -> None:
+    """Returns freed memory to the system where the C library can: workers stay for later tasks and other operators."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts and the int64 offsets of each (nulls are empty)."""
     if isinstance(column, pa.ChunkedArray):
@@ -87,7 +98,7 @@ def gather_spans(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) ->
 
 
 class WordCache:
-    """Hash of a word -> span of a flat value array, or one value; kept by a worker from batch to batch.
+    """Hash of a word -> span of a flat value array, or one value; kept by a task from batch to batch.
 
     At ``limit`` words it starts anew, so its memory is bounded; no result depends on it.
     """

@@ -4,7 +4,7 @@ A short word is two rows of a matrix: the ids between its part boundaries, and t
 distinct new words of a batch are worked on together: find each row's smallest rank (the leftmost, on a tie),
 delete that boundary, and refresh the ranks on either side, until no row has a rank left. Words of over
 ``LONG_WORD`` bytes use a heap over a linked list, which is not quadratic. Words seen before come from a bounded
-cache that a worker keeps.
+cache that a task keeps.
 
 Texts are cut into words by the byte-level pattern of the vocabulary file; the file's special tokens are split out
 first, as its own library does. The ids equal those of the ``tokenizers`` library; tests hold them against it.
@@ -28,7 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ._words import CHUNK_BYTES, SpanHasher, WordCache, chunks, gather_spans, text_buffer
+from ._words import CHUNK_BYTES, SpanHasher, WordCache, chunks, gather_spans, give_back, text_buffer
 
 LONG_WORD = 48
 #: Words that the library encodes at once.
@@ -311,6 +311,12 @@ class RankArrayBPE:
             yield text[at:to]
             at = to
 
+    def release(self) -> None:
+        """At the end of a task: the vocabulary stays, what the texts have filled goes."""
+        self.cache.clear()
+        self.hasher = SpanHasher()
+        give_back()
+
     def decode(self, ids: np.ndarray) -> bytes:
         return gather_spans(self.token_flat, self.token_starts[ids], self.token_lengths[ids]).tobytes()
 
@@ -365,6 +371,7 @@ def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), lists], ["id", "ids"])
                 i += n
+        bpe.release()
 
     frame = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     kind = frame.schema["id"].dataType.simpleString()
@@ -405,6 +412,7 @@ def roundtrip_digests(docs: DataFrame, path: str) -> DataFrame:
                 cols = [batch.column(0).slice(i, n), pa.array(np.diff(offsets)), pa.array(a, pa.string()), pa.array(b, pa.string())]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
                 i += n
+        bpe.release()
 
     frame = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
     return frame.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

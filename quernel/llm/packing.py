@@ -237,6 +237,7 @@ def pieces(docs: DataFrame, path: str, *, capacity: int = CAPACITY, end_id: int
                     ends = pa.array(np.append(0, np.cumsum(out[3])).astype(np.int32))
                     cols.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*spans, tail[:0]]).astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank", "ids"][: len(cols)])
+        bpe.release()
 
     frame = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     return frame.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long" + ", ids array<int>" * with_ids)

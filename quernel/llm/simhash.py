@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ._shared import cut
-from ._words import chunks, text_buffer
+from ._words import chunks, give_back, text_buffer
 
 #: A bucket is split when it would make more variants than this.
 BUCKET_VARIANTS = 1 << 23
@@ -99,6 +99,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 fp = fingerprint_array([data[a:b] for a, b in zip(offsets[i:j], offsets[i + 1 : j + 1], strict=True)], width)
                 rest = [batch.column(k).slice(i, j - i) for k in range(2, batch.num_columns)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(fp.view(np.int64)), *rest], ["doc_id", "fp", "key"][: 2 + len(rest)])
+        give_back()
 
     more = [] if key is None else [key.alias("key")]
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), *more).mapInArrow(run, "doc_id long, fp long" + ", key long" * len(more))

@@ -200,6 +200,7 @@ def write_shards(docs: DataFrame, path: str, folder: str, *, end_id: int | None
                     i += 1
         if names:
             yield flush()
+        bpe.release()
 
     if end_id is None:
         raise ValueError("a document without ids has no place in a block: an end id is needed")

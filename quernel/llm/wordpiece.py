@@ -4,7 +4,7 @@ Greedy word pieces take the longest vocabulary entry from the left, again and ag
 once: it is a trie of the vocabulary whose nodes have a failure link (the node for what is left of the read text
 after the pieces that are certain by then) and the number of pieces that following the link pops. So the length in
 pieces comes out in linear time without a piece being built. Distinct new words of a batch walk the automaton side
-by side, a byte at a time; words seen before come from a bounded cache.
+by side, a byte at a time; words seen before come from a bounded cache of the task.
 
 A word is ``[^\\x20\\x09-\\x0D]+`` of the text, read with the vocabulary's word mark before it. A word that some
 byte keeps from being cut into entries is one unknown piece.
@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._words import SpanHasher, WordCache, chunks, space_words, text_buffer
+from ._words import SpanHasher, WordCache, chunks, give_back, space_words, text_buffer
 from .bpe import byte_symbols
 
 
@@ -68,6 +68,12 @@ class LongestMatch:
             self.keys[at], self.nodes[at] = key, node
         self.cache, self.hasher = WordCache(np.int32), SpanHasher()
 
+    def release(self) -> None:
+        """At the end of a task: the automaton stays, what the texts have filled goes."""
+        self.cache.clear()
+        self.hasher = SpanHasher()
+        give_back()
+
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
@@ -149,6 +155,7 @@ def count_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_
             for words, pieces in match.count_texts(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(words)), pa.array(words, pa.int64()), pa.array(pieces, pa.int64())], ["id", "n_words", "n_pieces"])
                 i += len(words)
+        match.release()
 
     frame = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     return frame.mapInArrow(run, f"id {frame.schema['id'].dataType.simpleString()}, n_words long, n_pieces long").withColumnRenamed("id", id_col)
