@@ -345,13 +345,35 @@ class LibraryBPE(RankArrayBPE):
 
     def encode_words(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         data = raw.tobytes()
-        sizes, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        n_ids = np.zeros(len(starts), np.int64)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
         for at in range(0, len(starts), BLOCK_WORDS):  # an encoding of the library is far larger than its ids
-            words = [data[a:b].decode("utf-8") for a, b in zip(starts[at : at + BLOCK_WORDS].tolist(), ends[at : at + BLOCK_WORDS].tolist(), strict=True)]
-            ids = [x.ids for x in self.library.encode_batch_fast(words, add_special_tokens=False)]
-            sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
-            flat.append(np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(sizes[-1].sum())))
-        return np.concatenate(sizes), np.concatenate(flat)
+            words = [data[x:y].decode("utf-8") for x, y in zip(starts[at : at + BLOCK_WORDS].tolist(), ends[at : at + BLOCK_WORDS].tolist(), strict=True)]
+            # a space and letters are a word whatever follows, if that starts with a space: these go as one text
+            joined = [w[:1] == " " and w[1:].isalpha() for w in words]
+            here = np.flatnonzero(joined)
+            if len(here):
+                one = self.library.encode_batch_fast(["".join(w for w, j in zip(words, joined, strict=True) if j)], add_special_tokens=False)
+                ids = np.array(one[0].ids, np.uint32)
+                upto = np.cumsum(self.token_lengths[ids])  # where each id ends, in bytes
+                stop = np.cumsum((ends - starts)[at + here])
+                last = np.searchsorted(upto, stop)
+                if len(upto) and upto[-1] == stop[-1] and (upto[np.minimum(last, len(upto) - 1)] == stop).all():
+                    n_ids[at + here] = np.diff(last, prepend=-1)
+                    found.append((at + here, ids))
+                else:
+                    joined = [False] * len(words)
+            rest = np.flatnonzero(~np.array(joined, bool))
+            if len(rest):
+                ids = [x.ids for x in self.library.encode_batch_fast([words[i] for i in rest.tolist()], add_special_tokens=False)]
+                n_ids[at + rest] = np.fromiter(map(len, ids), np.int64, len(ids))
+                found.append((at + rest, np.fromiter(itertools.chain.from_iterable(ids), np.uint32)))
+        flat = np.zeros(int(n_ids.sum()), np.uint32)
+        place = np.cumsum(n_ids) - n_ids
+        for own, ids in found:
+            size = n_ids[own]
+            flat[np.arange(len(ids)) + np.repeat(place[own] - (np.cumsum(size) - size), size)] = ids
+        return n_ids, flat
 
 
 @functools.cache
