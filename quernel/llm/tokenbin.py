@@ -43,6 +43,7 @@ def repair(ids: np.ndarray, ends: np.ndarray, base: int, *, rounds: int = ROUNDS
     """(symbols, symbol ends of the documents, rules). ends: where each document ends in ids, rising."""
     narrow = base + rounds * pairs <= 1 << 16
     kind, shift = (np.uint32, 16) if narrow else (np.uint64, 32)
+    factor = kind(0x9E3779B1) if narrow else kind(0x9E3779B97F4A7C15)
     seq = ids.astype(kind)
     last = np.zeros(len(seq), bool)
     last[ends - 1] = True  # every document has an id at least
@@ -62,25 +63,32 @@ def repair(ids: np.ndarray, ends: np.ndarray, base: int, *, rounds: int = ROUNDS
         if not len(pick):
             break
         chosen = np.sort(own[at[pick]])
-        where = np.minimum(np.searchsorted(chosen, keys), len(chosen) - 1)
-        hit = (chosen[where] == keys) & ~last[:-1]
+        # a table of hashed pairs passes over most places, the rest are looked up
+        there = np.zeros(1 << 16, bool)
+        there[(chosen * factor >> kind(2 * shift - 16)).astype(np.int64)] = True
+        place = np.flatnonzero(there[keys * factor >> kind(2 * shift - 16)] & ~last[:-1])
+        own = keys[place]
+        where = np.minimum(np.searchsorted(chosen, own), len(chosen) - 1)
+        hit = chosen[where] == own
+        place, where = place[hit], where[hit]
         for _ in range(2):  # the second time without the rules that hardly remain
-            place = np.flatnonzero(hit)
             start = np.append(True, np.diff(place) > 1) if len(place) else np.zeros(0, bool)
             run = place[np.maximum.accumulate(np.where(start, np.arange(len(place)), 0))] if len(place) else place
-            use = place[(place - run) % 2 == 0]  # of overlapping pairs, every other one from the left
-            used = np.bincount(where[use], minlength=len(chosen))
+            first = (place - run) % 2 == 0  # of overlapping pairs, every other one from the left
+            use, rule = place[first], where[first]
+            used = np.bincount(rule, minlength=len(chosen))
             if (used[used > 0] >= LEAST_COUNT).all():
                 break
-            hit &= used[where] >= LEAST_COUNT
-        keep = np.flatnonzero(np.bincount(where[use], minlength=len(chosen)))
+            hit = used[where] >= LEAST_COUNT
+            place, where = place[hit], where[hit]
+        keep = np.flatnonzero(used)
         if not len(keep):
             break
         number = np.zeros(len(chosen), np.int64)
         number[keep] = base + len(rules) + np.arange(len(keep))
         pair = chosen[keep]
         rules = np.vstack((rules, np.stack((pair >> kind(shift), pair & kind((1 << shift) - 1)), 1).astype(np.uint32)))
-        seq[use] = number[where[use]].astype(kind)
+        seq[use] = number[rule].astype(kind)
         last[use] = last[use + 1]
         stay = np.ones(len(seq), bool)
         stay[use + 1] = False
