@@ -6,12 +6,13 @@ rejected URLs: each order's estimate is smoothed by the next shorter one, with c
 size. The score is the difference of log-likelihoods per character. The threshold is calibrated on accepted URLs
 that the models haven't seen, so that at most ``FALSE_BLOCKS`` of them would be blocked.
 
-The models are trained from labelled URLs: those of ``seed_urls``, a bounded set made here, and those of a table, if
-one is given to ``train`` (counted over all its rows by a partial aggregation, with the seeds weighted to be
-``SEED_PART`` of what each model has seen). The registered query trains from the seeds alone. Rows that a rule has
-decided were tried as labels and left out: a rule that blocks a whole domain says nothing of the words in its URLs,
-and with them clean URLs scored as high as some rejected ones. The count tables have ``SLOTS`` numbers for each
-order: that bounds what is collected and broadcast, at every size of the input.
+The models are counted over the seeds (``seed_urls``, a bounded set made here) and over every row of the table, without
+weights, by a partial aggregation: a row that a rule has decided is labelled by it, and one that no rule decides is
+accepted background, unless models of the seeds alone score it above their own threshold. Without that last step the
+bad hosts of the background count as accepted, and none of them is blocked any more. The threshold is calibrated
+on accepted rows and seeds that are held out, a fifth of either (by a hash of the url, so that copies keep together);
+then all are counted. The count tables have ``SLOTS`` numbers for each order: that bounds what is collected and
+broadcast, at every size of the input.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path, no rule, and is allowed, as there is
 nothing to score; repeated rows get equal verdicts; extra columns are left out; an empty table gives no rows.
@@ -35,7 +36,9 @@ ORDER = 5
 SLOTS = 1 << 16
 LAMBDA = 2.0
 FALSE_BLOCKS = 0.01
-SEED_PART = 0.8
+#: One in so many rows and seeds is held out to calibrate, with scores in bins of 1 / BINS.
+HELD = 5
+BINS = 10_000
 _BATCH = 1 << 20
 
 
@@ -137,45 +140,74 @@ def seed_counts(keep=lambda i: True) -> np.ndarray:
     return np.stack([count_grams(*_buffer([u for i, u in enumerate(urls) if keep(i)])) for urls in seed_urls()])
 
 
-def corpus_counts(labelled: DataFrame) -> np.ndarray:
-    """labelled: (url, rejected boolean). Counts over all rows; a task sends each slot once."""
+def _seed_model(false_blocks: float) -> UrlModel:
+    """Of the seeds alone, to label rows."""
+    scores = UrlModel(seed_counts(lambda i: i % HELD)).scores(*_buffer([u for i, u in enumerate(seed_urls()[0]) if i % HELD == 0]))
+    return UrlModel(seed_counts(), max(0.0, float(np.quantile(scores, 1 - false_blocks, method="higher"))))
+
+
+def _rejected(batch: pa.RecordBatch, seeds: UrlModel) -> np.ndarray:
+    """Labels of (url, rejected): a null one by the seeds' models."""
+    label = np.array(pa.compute.fill_null(batch.column(1), False), bool)
+    free = np.array(pa.compute.is_null(batch.column(1)), bool)
+    if free.any():
+        label[free] = seeds.scores(*text_buffer(batch.column(0).filter(pa.array(free)))) > seeds.threshold
+    return label
+
+
+def corpus_counts(labelled: DataFrame, seeds: UrlModel) -> np.ndarray:
+    """labelled: (url, rejected, held). Counts over all rows, by [held, label, ...]; a task sends each slot once."""
+    shared = labelled.sparkSession.sparkContext.broadcast(seeds)
 
     def run(batches):
-        held: dict[bool, np.ndarray] = {}
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            label = np.array(batch.column(1).to_pylist(), bool)
-            for kind in (False, True):
-                rows = batch.column(0).filter(pa.array(label == kind))
+            part = 2 * np.array(batch.column(2), bool) + _rejected(batch, shared.value)
+            for kind in np.unique(part):
+                rows = batch.column(0).filter(pa.array(part == kind))
                 for at in range(0, len(rows), 10_000):
                     got = count_grams(*text_buffer(rows.slice(at, 10_000)))
-                    held[kind] = held[kind] + got if kind in held else got
-        for kind, counts in held.items():
+                    sums[kind] = sums[kind] + got if kind in sums else got
+        for kind, counts in sums.items():
             at = np.flatnonzero(counts.ravel())
-            yield pa.RecordBatch.from_arrays([pa.array(at + kind * counts.size), pa.array(counts.ravel()[at])], ["slot", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(at + int(kind) * counts.size), pa.array(counts.ravel()[at])], ["slot", "n"])
 
-    out = np.zeros((2, 2, ORDER, SLOTS))
-    flat = out.reshape(-1)
-    sums = labelled.select("url", "rejected").where("url IS NOT NULL").mapInArrow(run, "slot long, n double").groupBy("slot").sum("n")
-    for slot, n in sums.collect():  # 4 * ORDER * SLOTS rows at most
-        flat[slot] = n
+    out = np.zeros((2, 2, 2, ORDER, SLOTS))
+    sums = labelled.mapInArrow(run, "slot long, n double").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # out.size rows at most
+    out.reshape(-1)[np.array(sums["slot"])] = np.array(sums["n"])
     return out
 
 
-def train(labelled: DataFrame | None = None, *, seed_part: float = SEED_PART, false_blocks: float = FALSE_BLOCKS) -> UrlModel:
-    """Models from the seeds and, if given, from labelled URLs (url, rejected)."""
-    corpus = corpus_counts(labelled) if labelled is not None else np.zeros((2, 2, ORDER, SLOTS))
+def held_scores(labelled: DataFrame, seeds: UrlModel, model: UrlModel) -> tuple[np.ndarray, np.ndarray]:
+    """(score rounded up to a bin, rows) of the accepted rows that are held out."""
+    shared = labelled.sparkSession.sparkContext.broadcast((seeds, model))
 
-    def mixed(seeds: np.ndarray) -> np.ndarray:
-        out = np.empty_like(seeds)
-        for k in (0, 1):
-            own, more = seeds[k, 0, 0].sum(), corpus[k, 0, 0].sum()
-            out[k] = seeds[k] + (corpus[k] * min(1.0, own * (1 - seed_part) / seed_part / more) if more else 0)
-        return out
-
-    # every fifth seed is held out to calibrate; then all are used
-    held = [u for i, u in enumerate(seed_urls()[0]) if i % 5 == 0]
-    scores = UrlModel(mixed(seed_counts(lambda i: i % 5))).scores(*_buffer(held))
-    return UrlModel(mixed(seed_counts()), max(0.0, float(np.quantile(scores, 1 - false_blocks, method="higher"))))
+    def run(batches):
+        own, judge_ = shared.value
+        for batch in batches:
+            scores = judge_.scores(*text_buffer(batch.column(0).filter(pa.array(~_rejected(batch, own)))))
+            at, n = np.unique(np.ceil(scores * BINS).astype(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n)], ["bin", "n"])
+
+    sums = labelled.where("held").mapInArrow(run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    return np.array(sums["bin"]) / BINS, np.array(sums["n"])
+
+
+def train(labelled: DataFrame | None = None, *, false_blocks: float = FALSE_BLOCKS) -> UrlModel:
+    """Models from the seeds and, if given, from all rows of (url, rejected), where a null label is left to the seeds."""
+    seeds = _seed_model(false_blocks)
+    if labelled is None:
+        return seeds
+    rows = labelled.select("url", "rejected", (F.pmod(F.xxhash64("url"), F.lit(HELD)) == 0).alias("held")).where("url IS NOT NULL")
+    corpus = corpus_counts(rows, seeds)
+    part = UrlModel(seed_counts(lambda i: i % HELD) + corpus[0])
+    scores, n = held_scores(rows, seeds, part)
+    own = part.scores(*_buffer([u for i, u in enumerate(seed_urls()[0]) if i % HELD == 0]))
+    scores, n = np.append(scores, own), np.append(n, np.ones(len(own)))
+    order = np.argsort(scores)
+    above = n.sum() - np.cumsum(n[order])
+    threshold = float(scores[order][np.argmax(above <= false_blocks * n.sum())])
+    return UrlModel(seed_counts() + corpus.sum(axis=0), max(0.0, threshold))
 
 
 def judge(pages: DataFrame, *, rules: Iterable[tuple[str, str]] = RULES, model: UrlModel | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -185,7 +217,8 @@ def judge(pages: DataFrame, *, rules: Iterable[tuple[str, str]] = RULES, model:
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"))
     rows = rows.withColumn("rule", match_rule(F.col("host"), F.col("path"), rules))
     blocked = F.col("rule").isin([r for r, v in rules if v == "block"])
-    model = model or train()
+    label = F.when(F.col("rule").isNotNull(), blocked).when(F.col("host") == "", False)  # nothing to score is allowed
+    model = model or train(rows.select("url", label.alias("rejected")))
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

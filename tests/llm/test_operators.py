@@ -354,3 +354,19 @@ def test_url_filter(spark):
     limit = np.quantile(test(good), 0.98)
     assert (test(bad) > limit).mean() > 0.8
     assert urls.judge(frame.limit(0)).count() == 0
+
+
+def test_url_models_count_every_row(spark):
+    ship(spark)
+    words = "garden music travel science recipes weather".split()
+    rows = [f"http://www.zuqqawix.example.com/de/{i}" for i in range(300)] + [f"http://www.{words[i % 6]}.example.com/en/{i}" for i in range(600)] + ["http://m.cheap-pills.example.com/en/7", None, "none"]
+    rows += ["http://www.zuqqawix.example.com/en/5", "http://museum.example.com/en/5"]
+    frame = spark.createDataFrame(list(enumerate(rows)), "page_id bigint, url string").repartition(3)
+    found = {r["page_id"]: r for r in urls.judge(frame).collect()}
+    # a word that only the blocked rows have, and one of the seeds; neither is held back by the background
+    assert found[len(rows) - 2]["verdict"] == "block" and found[900]["verdict"] == "block"
+    assert found[len(rows) - 1]["verdict"] == "allow" and sum(found[i]["verdict"] == "block" for i in range(300, 900)) <= 6
+    labelled = frame.selectExpr("url", "CASE WHEN page_id < 300 THEN true WHEN page_id < 900 THEN false END AS rejected")
+    more = urls.train(labelled).counts - urls.seed_counts()
+    assert more[:, 0, 0].sum() == sum(len(u) for u in rows if u)
+    assert more[1, 0, 0].sum() >= sum(len(u) for u in rows[:300])
