@@ -2,11 +2,11 @@
 
 Lines are normalised (lower-cased, without white space at their ends) and hashed, and for every host
 the documents that hold a line are counted over all rows. A line above its host's limit is removed; a document is
-rejected if too little of it stays. The limit of a host is ``max(min_docs, share * documents of the host)``, so a
-large host needs more repeats than a small one. Lines of fewer than ``MIN_LINE_BYTES`` bytes are never removed.
+rejected if too little of it stays. The limit is ``min_docs`` documents at every size of a host. Lines of fewer than
+``MIN_LINE_BYTES`` bytes are never removed.
 
 Exchanges: a document sends each distinct line once, and counts are partial before they are shuffled. Removed lines
-are by their nature the frequent ones, so the join back spreads every key over ``SALTS`` parts, with the few
+are by their nature the frequent ones, so the join back spreads every key over ``SALTS`` parts, with the
 frequent lines repeated for each. Texts aren't shuffled at all, only hashes and sizes.
 
 Base rules of a single document: too few words, or too many words in repeated three-word windows. A window's 64-bit
@@ -23,8 +23,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: A line is removed if more documents of its host hold it than both of these.
+#: A line is removed if more documents of its host hold it.
 MIN_DOCS = 20
+#: Read by the DuckDB twin alone, which still asks for this part of a host's rows as well.
 SHARE = 0.05
 MIN_LINE_BYTES = 16
 #: A document that loses lines is rejected if fewer bytes of lines than this, or a smaller part of them, stay.
@@ -105,18 +106,16 @@ def line_sets(docs: DataFrame, *, id_col: str, text_col: str, host_col: str) ->
     return docs.select(F.col(id_col).alias("doc"), F.xxhash64(host, text).alias("key"), host.alias("host"), every.alias("every"))
 
 
-def frequent_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
+def frequent_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS) -> DataFrame:
     """(host, line, docs): the lines above their host's limit."""
     sets = line_sets(docs, id_col=id_col, text_col=text_col, host_col=host_col)
     # explode() would infer a filter on the array's size, which is pushed below and makes the array there once more
-    counts = sets.select("host", F.explode_outer(F.array_distinct(F.col("every.line"))).alias("line")).where("line IS NOT NULL").groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > min_docs)
-    hosts = docs.groupBy(F.col(host_col).cast("string").alias("h")).agg(F.count(F.lit(1)).alias("size"))
-    return counts.join(hosts, counts["host"].eqNullSafe(hosts["h"])).where(F.col("docs") > F.col("size") * share).select("host", "line", "docs")
+    return sets.select("host", F.explode_outer(F.array_distinct(F.col("every.line"))).alias("line")).where("line IS NOT NULL").groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > min_docs)
 
 
-def verdicts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE, salts: int = SALTS, with_lines: bool = False) -> DataFrame:
+def verdicts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, salts: int = SALTS, with_lines: bool = False) -> DataFrame:
     """A row for each row of docs: its id, the base columns, removed_bytes, base_failed and kept."""
-    frequent = frequent_lines(docs, id_col=id_col, text_col=text_col, host_col=host_col, min_docs=min_docs, share=share)
+    frequent = frequent_lines(docs, id_col=id_col, text_col=text_col, host_col=host_col, min_docs=min_docs)
     frequent = frequent.select(F.col("host").alias("h"), F.col("line").alias("l"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("s"))
     sets = line_sets(docs, id_col=id_col, text_col=text_col, host_col=host_col)
     lines = sets.select("doc", "key", "host", F.explode_outer("every").alias("x")).where("x IS NOT NULL").select("doc", "key", "host", "x.line", "x.size")

@@ -282,6 +282,15 @@ def test_quality_removes_lines_of_a_host(spark):
     assert quality.verdicts(docs.limit(0)).count() == 0
 
 
+def test_quality_limit_is_the_same_in_a_large_host(spark):
+    own = lambda i: long_text(60, i)
+    line = "Subscribe to our weekly letter today"
+    rows = [(i, f"{own(i)}\n{line}" if i < 25 else own(i), "large") for i in range(600)] + [(1000 + i, f"{own(2000 + i)}\n{line}", "small") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    found = {r["doc_id"]: r["removed_bytes"] for r in quality.verdicts(docs).collect()}
+    assert found == {i: len(line) if i < 25 else 0 for i, _, _ in rows}
+
+
 def test_warc(spark, tmp_path):
     ship(spark)
     pages = [(1, "http://a", "same"), (2, "http://b", "same"), (3, None, None), (4, "http://c\n", ""), (5, "u", "ünï" * 1000), (5, "u", "ünï" * 1000), (None, "n", "same"), (None, None, "alone"), (9, "z", "x" * 300_000)]
