@@ -1,19 +1,19 @@
 """Quality rules with cross-document line frequency (operator 10). DataFrame functions only.
 
 Lines are normalised (lower-cased, without white space at their ends) and hashed, and for every host
-the documents that hold a line are counted over all rows. A line above its host's limit is removed; a document is
-rejected if too little of it stays. The limit is ``min_docs`` documents at every size of a host. Lines of fewer than
-``MIN_LINE_BYTES`` bytes are never removed.
+the distinct texts that hold a line are counted over all rows, so a group of exact copies counts once. A line above its
+host's limit is removed; a document is rejected if too little of it stays. The limit is ``min_docs`` texts at every
+size of a host. Lines of fewer than ``MIN_LINE_BYTES`` bytes are never removed.
 
-Exchanges: a document sends each distinct line once, and counts are partial before they are shuffled. Removed lines
-are by their nature the frequent ones, so the join back spreads every key over ``SALTS`` parts, with the
-frequent lines repeated for each. Texts aren't shuffled at all, only hashes and sizes.
+Exchanges: a text sends its distinct lines once, to meet its copies; then lines are counted, with partial counts before
+they are shuffled. Removed lines are by their nature the frequent ones, so the join back spreads every key over
+``SALTS`` parts, with the frequent lines repeated for each. Texts aren't shuffled at all, only hashes and sizes.
 
 Base rules of a single document: too few words, or too many words in repeated three-word windows. A window's 64-bit
 hash stands for it.
 
 Edge cases: a null or empty text has no words and fails the base rules; a null host is a host of its own; null ids
-are kept as they are; a repeated row counts as a document and gets the verdict of its twin; extra columns are left
+are kept as they are; a repeated row counts once and gets the verdict of its twin; extra columns are left
 out of the verdicts and kept by ``clean_documents``; an empty table gives no rows.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: A line is removed if more documents of its host hold it.
+#: A line is removed if more distinct texts of its host hold it.
 MIN_DOCS = 20
 #: Read by the DuckDB twin alone, which still asks for this part of a host's rows as well.
 SHARE = 0.05
@@ -109,8 +109,9 @@ def line_sets(docs: DataFrame, *, id_col: str, text_col: str, host_col: str) ->
 def frequent_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS) -> DataFrame:
     """(host, line, docs): the lines above their host's limit."""
     sets = line_sets(docs, id_col=id_col, text_col=text_col, host_col=host_col)
+    texts = sets.select("host", "key", F.array_distinct(F.col("every.line")).alias("lines")).distinct()
     # explode() would infer a filter on the array's size, which is pushed below and makes the array there once more
-    return sets.select("host", F.explode_outer(F.array_distinct(F.col("every.line"))).alias("line")).where("line IS NOT NULL").groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > min_docs)
+    return texts.select("host", F.explode_outer("lines").alias("line")).where("line IS NOT NULL").groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > min_docs)
 
 
 def verdicts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, salts: int = SALTS, with_lines: bool = False) -> DataFrame:

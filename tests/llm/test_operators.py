@@ -291,6 +291,16 @@ def test_quality_limit_is_the_same_in_a_large_host(spark):
     assert found == {i: len(line) if i < 25 else 0 for i, _, _ in rows}
 
 
+def test_quality_counts_copies_of_a_text_once(spark):
+    text = "\n".join(long_text(30, i) for i in range(6))
+    line = "Subscribe to our weekly letter today"
+    rows = [(i, text, "hot") for i in range(40)] + [(100 + i, f"{long_text(60, 100 + i // 2)}\n{line}", "pairs") for i in range(40)] + [(200 + i, f"{long_text(60, 200 + i // 2)}\n{line}", "more") for i in range(42)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    kept = {r["doc_id"]: r["text"] for r in quality.clean_documents(docs).collect()}
+    # 20 distinct texts in the second host, 21 in the third
+    assert kept == {i: t if i < 200 else t.removesuffix(f"\n{line}") for i, t, _ in rows}
+
+
 def test_warc(spark, tmp_path):
     ship(spark)
     pages = [(1, "http://a", "same"), (2, "http://b", "same"), (3, None, None), (4, "http://c\n", ""), (5, "u", "ünï" * 1000), (5, "u", "ünï" * 1000), (None, "n", "same"), (None, None, "alone"), (9, "z", "x" * 300_000)]
