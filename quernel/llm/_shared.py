@@ -1,4 +1,4 @@
-"""Shared folder and lineage cuts."""
+"""Shared folder, lineage cuts, names, places of rows, and joins that no key can make hot."""
 
 from __future__ import annotations
 
@@ -6,30 +6,26 @@ import io
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..sources.storage import shared_folder
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset, as in tests, a temporary one is made."""
-    context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="quernel-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(found)
-    return found.rstrip("/")
+#: A key of more rows is hot; there are MOST_HOT such keys at most, or the bound rises.
+HOT_ROWS, MOST_HOT = 1_000, 1 << 17
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A folder of its own below the shared one."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
     """The same rows from files in the shared folder, so that a lost executor costs a read and not the job."""
-    shared_dir(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -51,3 +47,47 @@ def ship(spark: SparkSession) -> None:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def fresh_names(taken: Iterable[str], *wanted: str) -> list[str]:
+    """Names of helper columns that none of ``taken`` has, in any case."""
+    used, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        name = f"__{name}"
+        while name.lower() in used:
+            name += "_"
+        used.add(name)
+        out.append(name)
+    return out
+
+
+def placed_rows(docs: DataFrame) -> tuple[DataFrame, Column]:
+    """The same rows from files, and a column (file, row) that no two rows share and that every reading gives alike.
+
+    A plain Parquet table has that already; anything else is written to the shared folder first.
+    """
+    if "_metadata" not in docs.columns and docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        try:
+            docs.select("_metadata.row_index")
+        except AnalysisException:
+            pass  # no Parquet files
+        else:
+            return docs, F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    (name,) = fresh_names(docs.columns, "row")
+    out = docs.withColumn(name, F.monotonically_increasing_id())
+    out.write.parquet(folder := new_folder(docs.sparkSession, "rows"))
+    return docs.sparkSession.read.schema(out.schema).parquet(folder), F.struct(F.lit("").alias("file"), F.col(f"`{name}`").alias("row"))
+
+
+def join_by_key(rows: DataFrame, table: DataFrame, key: str, n_rows: int, *, count_col: str = "n", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """rows with the columns of a table that has one row for each key, and ``count_col``, how many rows have it.
+
+    Keys of more than ``hot_rows`` rows are looked up from a broadcast, so their rows stay where they are: of n_rows
+    rows, such keys are ``MOST_HOT`` at most. All others meet by a shuffle.
+    """
+    least = max(hot_rows, n_rows // MOST_HOT)
+    if n_rows <= least:
+        return rows.join(table, key)
+    hot = F.broadcast(table.where(F.col(count_col) > least))
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(F.col(count_col) <= least), key)
+    return rows.join(hot, key).unionByName(others)

@@ -27,13 +27,15 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ._shared import cut
+from ._shared import HOT_ROWS, cut, fresh_names, join_by_key, placed_rows
 from ._words import chunks, give_back, text_buffer
 
 #: A bucket is split when it would make more variants than this.
-BUCKET_VARIANTS = 1 << 23
+BUCKET_VARIANTS = 1 << 21
+#: A bucket of more fingerprints gives its memory back at once.
+LARGE_BUCKET = 1 << 12
 #: Leading bits of a bucket at most; the driver holds a counter for each such bucket.
 MOST_BITS = 20
 SEED = 42
@@ -88,8 +90,9 @@ def fingerprint_array(texts: list[bytes], width: int) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel().astype(np.uint64)
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, key: Column | None = None) -> DataFrame:
-    """(doc_id long, fp long[, key long]) of every row: bytes.lower() and bytes.split() are the ASCII rules of the contract."""
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, more: dict[str, Column] | None = None) -> DataFrame:
+    """(doc_id long, fp long) of every row, and columns made by ``more``: bytes.lower() and bytes.split() are the ASCII rules of the contract."""
+    frame = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), *[c.alias(name) for name, c in (more or {}).items()])
 
     def run(batches):
         for batch in batches:
@@ -98,11 +101,11 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             for i, j in chunks(offsets):
                 fp = fingerprint_array([data[a:b] for a, b in zip(offsets[i:j], offsets[i + 1 : j + 1], strict=True)], width)
                 rest = [batch.column(k).slice(i, j - i) for k in range(2, batch.num_columns)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(fp.view(np.int64)), *rest], ["doc_id", "fp", "key"][: 2 + len(rest)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(fp.view(np.int64)), *rest], ["doc_id", "fp", *batch.schema.names[2:]])
         give_back()
 
-    more = [] if key is None else [key.alias("key")]
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), *more).mapInArrow(run, "doc_id long, fp long" + ", key long" * len(more))
+    rest = "".join(f", {f.name} {f.dataType.simpleString()}" for f in frame.schema.fields[2:])
+    return frame.mapInArrow(run, f"doc_id long, fp long{rest}")
 
 
 def flips(low: int, high: int, most: int) -> list[tuple[int, int]]:
@@ -171,6 +174,8 @@ def _linked(rows: DataFrame, used: int, radius: int) -> DataFrame:
     def run(group: pa.Table) -> pa.Table:
         fp = group.column("fp").to_numpy()
         a, b = link_bucket(fp, group.column("spare").to_numpy(), used, radius) if len(fp) > 1 else (fp[:0], fp[:0])
+        if len(fp) > LARGE_BUCKET:
+            give_back()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return rows.select("bucket", "fp", "spare").groupBy("bucket").applyInArrow(run, "a long, b long")
@@ -178,14 +183,17 @@ def _linked(rows: DataFrame, used: int, radius: int) -> DataFrame:
 
 def star_edges(distinct: DataFrame, radius: int = 4, *, bucket_variants: int = BUCKET_VARIANTS) -> DataFrame:
     """(a, b) with a > b, whose components are those of all links within ``radius``. distinct: (fp), already cut."""
-    half = (radius + 1) // 2
+    if radius % 2:
+        # two who share a variant within half the radius are within the radius only if that is even
+        raise ValueError(f"the radius must be even: {radius}")
+    half = radius // 2
     n = distinct.count()
     used = max(6, min(MOST_BITS, int(n * _made(0, half) * 4 // bucket_variants).bit_length()))
     rows = _spread(distinct.select(F.col("fp").alias("head"), "fp", F.lit(half).alias("spare")), 0, used, half)
     # what each bucket would make, from the count of fingerprints by their leading bits: 2**used numbers at most
+    found = distinct.groupBy(F.expr(f"shiftright(fp, {64 - used}) & {(1 << used) - 1}L").alias("h")).count().toArrow()
     heads = np.zeros(1 << used, np.int64)
-    for row in distinct.groupBy(F.expr(f"shiftright(fp, {64 - used}) & {(1 << used) - 1}L").alias("h")).count().collect():
-        heads[row["h"]] = row["count"]
+    heads[found["h"].to_numpy()] = found["count"].to_numpy()
     load = np.zeros(1 << used)
     for mask, left in flips(0, used, half):
         load += heads[np.arange(1 << used) ^ mask] * float(_made(used, left))
@@ -194,7 +202,7 @@ def star_edges(distinct: DataFrame, radius: int = 4, *, bucket_variants: int = B
         return cut(_linked(rows, used, radius).distinct())
     spark = distinct.sparkSession
     # at most 2**MOST_BITS bucket numbers of 8 bytes
-    small = F.broadcast(spark.createDataFrame([(int(x),) for x in hot], "bucket long"))
+    small = F.broadcast(spark.createDataFrame(pa.table({"bucket": pa.array(hot, pa.int64())})))
     edges = cut(_linked(rows.join(small, "bucket", "left_anti"), used, radius).distinct())
     rows = rows.join(small, "bucket", "left_semi")
     while used < 64:
@@ -210,21 +218,26 @@ def star_edges(distinct: DataFrame, radius: int = 4, *, bucket_variants: int = B
     return cut(edges.distinct())
 
 
-def connected(edges: DataFrame) -> DataFrame:
-    """(node, root): every node of the edges (a, b), with the smallest node of its component; roots included."""
+def connected(edges: DataFrame, *, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(node, root): every node of the edges (a, b), with the smallest node of its component; roots included.
+
+    A node with very many neighbours meets them by a join of its own (``join_by_key``), so a hub isn't one task.
+    """
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    n = edges.count()
     while True:
         # large star: the larger neighbours of a node go to the smallest of its neighbourhood
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = join_by_key(both.where("b > a"), least, "a", 2 * n, hot_rows=hot_rows).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # small star: a node and its smaller neighbours go to the smallest of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        near = large.join(least, "a")
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        near = join_by_key(large, least, "a", 2 * n, hot_rows=hot_rows)
         small = near.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         new = cut(small.distinct())
-        same = new.count() == edges.count() and new.join(edges, ["a", "b"], "left_anti").isEmpty()
-        edges = new
+        now = new.count()
+        same = now == n and new.join(edges, ["a", "b"], "left_anti").isEmpty()
+        edges, n = new, now
         if same:
             break
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
@@ -237,35 +250,37 @@ def rooted(fps: DataFrame, radius: int = 4, *, bucket_variants: int = BUCKET_VAR
     return fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
-def components(prints: DataFrame, radius: int = 4, *, bucket_variants: int = BUCKET_VARIANTS) -> DataFrame:
-    """prints: (doc_id, fp), already cut. Returns (fp, component_id) of every distinct fingerprint."""
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+def components(prints: DataFrame, radius: int = 4, *, bucket_variants: int = BUCKET_VARIANTS, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """prints: (doc_id, fp), already cut. Returns (fp, component_id, n) of every distinct fingerprint; n: its rows."""
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
     placed = cut(rooted(distinct, radius, bucket_variants=bucket_variants))
-    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return placed.join(named, "root").select("fp", "component_id")
+    named = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("fps"))
+    return join_by_key(placed, named, "root", distinct.count(), count_col="fps", hot_rows=hot_rows).select("fp", "component_id", "n")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(doc_id, fp, component_id) of every row of docs."""
     prints = cut(fingerprints(docs, id_col=id_col, text_col=text_col, width=width))
-    return prints.join(components(prints, radius), "fp").select("doc_id", "fp", "component_id")
+    named = cut(components(prints, radius, hot_rows=hot_rows))
+    return join_by_key(prints, named, "fp", prints.count(), hot_rows=hot_rows).select("doc_id", "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
     """One row of each component, with all columns of docs: that with the smallest id (a null id comes last), and of
-    rows with one id the first by a hash of its text. Texts meet the chosen rows by id and hash, once.
+    rows with one id the first by a hash of its text, then by its place.
+
+    Each row has a place of its own in files (``placed_rows``): the chosen places meet the rows once, one row each, so
+    no key is hot, and texts are neither grouped nor ranked.
     """
-    key = F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.col(text_col).isNull(), F.col(text_col))
-    prints = cut(fingerprints(docs, id_col=id_col, text_col=text_col, width=width, key=key))
-    least = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("key").alias("key"))
+    rows, place = placed_rows(docs)
+    key = F.xxhash64(F.col(text_col).isNull(), F.col(text_col))
+    prints = cut(fingerprints(rows, id_col=id_col, text_col=text_col, width=width, more={"key": key, "place": place}))
+    least = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "key", "place")
     distinct = cut(prints.groupBy("fp").agg(F.min(least).alias("least")))
     chosen = rooted(distinct, radius).groupBy("root").agg(F.min("least").alias("x"))
-    number = lambda c: F.coalesce(c.cast("long"), F.lit(0).cast("long"))
-    chosen = cut(chosen.select(number(F.col("x.id")).alias("__id"), F.col("x.key").alias("__key")))
-    rows = docs.withColumn("__id", number(F.col(id_col))).withColumn("__key", key).join(chosen, ["__id", "__key"], "left_semi")
-    # rows that are equal in id and text are one document
-    order = Window.partitionBy("__id", "__key").orderBy(F.lit(0))
-    return rows.withColumn("__n", F.row_number().over(order)).where(F.col("__n") == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    (name,) = fresh_names(rows.columns, "place")
+    chosen = cut(chosen.select(F.col("x.place").alias(name))).hint("shuffle_hash")  # texts go by it, unsorted
+    return rows.withColumn(name, place).join(chosen, name, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def fingerprint_hex(fp) -> F.Column:
