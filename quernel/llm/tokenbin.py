@@ -1,19 +1,22 @@
 """Token ids in binary shards compressed by Re-Pair grammars (operator 4).
 
 Documents are dealt to shards by ranges of their id and sorted within them; a shard is written as blocks of about
-``BLOCK_TOKENS`` ids. In each block, frequent pairs of adjacent ids become nonterminals, round by round: a round
-takes the most frequent pairs of the current sequence and replaces their non-overlapping occurrences from the left.
-No pair crosses the end of a document, so each document is a span of symbols of its own. The block stores the rules
-and every rule's expansion length; with those, any span of ids is expanded without the rest of the block.
-
-Block format (little-endian): ``QRP1``, then unsigned 32-bit: bytes of a symbol (2 or 4), first nonterminal, rules,
-documents, symbols; then the rules (two symbols each), their expansion lengths (u32), the symbol at which each
-document ends (u32), and the symbols. A row of the shard table holds one block beside its place: shard, block, the
+``BLOCK_TOKENS`` ids, each with a grammar of its own. In a block, the most frequent pairs of adjacent ids become
+nonterminals, round by round, until no pair occurs ``LEAST_COUNT`` times without overlap: the number of rounds and of
+rules has no other bound. No pair crosses the end of a document, so each document is a span of symbols of its own. The
+block stores the rules and every rule's expansion length; with those, any span of ids is expanded without the rest.
+
+Block format (little-endian): ``QRP2``, then unsigned 32-bit: bytes of a symbol (2 or 4), ids that occur, rules,
+documents, symbols; then the ids that occur (u32, rising; a symbol below their number stands for one of them, the
+others for rules), the rules (two symbols each), their expansion lengths (u32), the symbol at which each document
+ends (u32), and the symbols. A row of the shard table holds one block beside its place: shard, block, the
 ids before it in its shard, its number of ids, and its documents. The table is Parquet in a folder of Spark's own
 writer, so that a retried task leaves no second copy and every file system that Spark reaches will do.
 
-Edge cases: null and empty texts are the end id alone; null doc_ids come first, in a block like any other; repeated
-rows are written each; a text longer than a block is a block of its own; an empty table makes an empty folder.
+Edge cases: null and empty texts are the end id alone; null doc_ids come first, in blocks like any other; rows of one
+id go in the order of a hash of their texts, then of their place in the input, and may share several shards; repeated
+rows are written each; a text longer than a block is a block of its own; extra columns are left out; an empty table
+makes an empty folder.
 """
 
 from __future__ import annotations
@@ -24,79 +27,113 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ._shared import new_folder
+from ._words import gather_spans
 from .bpe import library_encoder
 
 BLOCK_TOKENS = 1 << 20
 END_ID = 2
-ROUNDS = 5
-PAIRS_A_ROUND = 2048
+#: A rule takes two symbols and a length, and saves a symbol at each use: with so many it costs nothing.
 LEAST_COUNT = 4
-MAGIC = b"QRP1"
+#: A round takes pairs down to this part of the most frequent one's count.
+PART = 8
+MAGIC = b"QRP2"
 _HEAD = struct.Struct("<4s5I")
 SCHEMA = "shard int, block int, first_token long, n_tokens long, doc_ids array<bigint>, grammar binary"
 
 
-def repair(ids: np.ndarray, ends: np.ndarray, base: int, *, rounds: int = ROUNDS, pairs: int = PAIRS_A_ROUND) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, symbol ends of the documents, rules). ends: where each document ends in ids, rising."""
-    narrow = base + rounds * pairs <= 1 << 16
-    kind, shift = (np.uint32, 16) if narrow else (np.uint64, 32)
-    factor = kind(0x9E3779B1) if narrow else kind(0x9E3779B97F4A7C15)
-    seq = ids.astype(kind)
-    last = np.zeros(len(seq), bool)
-    last[ends - 1] = True  # every document has an id at least
-    rules = np.zeros((0, 2), np.uint32)
-    for _ in range(rounds):
-        if len(seq) < 2:
+def _apart(live: np.ndarray, left: np.ndarray, right: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Of pairs of one id with itself that overlap, every other one from the left: their places."""
+    own = np.sort(live[left == right])
+    if not len(own):
+        return own
+    i = np.arange(len(own))
+    start = np.maximum.accumulate(np.where(np.append(True, after[own[:-1]] != own[1:]), i, 0))
+    return own[(i - start) % 2 == 1]
+
+
+def _sorted_pairs(left: np.ndarray, right: np.ndarray, live: np.ndarray, bits: int, place: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs in order (left above right), and their places."""
+    pair = left.astype(np.uint64) << np.uint64(bits) | right
+    if 2 * bits + place <= 64:  # one sort of numbers that hold both
+        pair = pair << np.uint64(place) | live.astype(np.uint64)
+        pair.sort()
+        return pair >> np.uint64(place), (pair & np.uint64((1 << place) - 1)).astype(np.int64)
+    order = np.argsort(pair, kind="stable")
+    return pair[order], live[order].astype(np.int64)
+
+
+def repair(ids: np.ndarray, ends: np.ndarray, base: int, *, least: int = LEAST_COUNT, part: int = PART) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, symbol ends of the documents, rules). ends: where each document ends in ids, rising.
+
+    A round takes every pair that occurs at least 1 / ``part`` as often as the most frequent one, and ``least`` times.
+    Where chosen pairs overlap, the more frequent one has the place. It ends when no pair occurs ``least`` times.
+    Only places whose pair can be frequent are looked at again: those that were, and those beside a new symbol; a pair
+    of older symbols never gains an occurrence.
+    """
+    n = len(ids)
+    bits, place = int(base + n // least + 1).bit_length(), max(1, n.bit_length())
+    seq = np.append(ids, 0).astype(np.uint32)
+    # neighbours within the document; n is none
+    after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+    after[ends - 1] = before[np.append(0, ends[:-1])] = after[n] = before[n] = n
+    live = np.flatnonzero(after[:n] < n).astype(np.int32)
+    rank_at, marked = np.zeros(n + 1, np.uint32), np.zeros(n + 1, bool)
+    rules: list[np.ndarray] = []
+    made = base
+    while len(live):
+        left, right = seq[live], seq[after[live]]
+        odd = _apart(live, left, right, after)
+        if len(odd):
+            marked[odd] = True
+            stay = ~marked[live]
+            marked[odd] = False
+            live, left, right = live[stay], left[stay], right[stay]
+        pair, at = _sorted_pairs(left, right, live, bits, place)
+        first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+        count = np.diff(np.append(first, len(pair)))
+        often = count >= least
+        if not often.any():
             break
-        keys = seq[:-1] << kind(shift) | seq[1:]
-        own = np.sort(keys[~last[:-1]])
-        if not len(own):
-            break
-        at = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-        count = np.diff(np.append(at, len(own)))
-        pick = np.flatnonzero(count >= LEAST_COUNT)
-        if len(pick) > pairs:
-            pick = pick[np.argpartition(-count[pick], pairs)[:pairs]]
-        if not len(pick):
-            break
-        chosen = np.sort(own[at[pick]])
-        # a table of hashed pairs passes over most places, the rest are looked up
-        there = np.zeros(1 << 16, bool)
-        there[(chosen * factor >> kind(2 * shift - 16)).astype(np.int64)] = True
-        place = np.flatnonzero(there[keys * factor >> kind(2 * shift - 16)] & ~last[:-1])
-        own = keys[place]
-        where = np.minimum(np.searchsorted(chosen, own), len(chosen) - 1)
-        hit = chosen[where] == own
-        place, where = place[hit], where[hit]
-        for _ in range(2):  # the second time without the rules that hardly remain
-            start = np.append(True, np.diff(place) > 1) if len(place) else np.zeros(0, bool)
-            run = place[np.maximum.accumulate(np.where(start, np.arange(len(place)), 0))] if len(place) else place
-            first = (place - run) % 2 == 0  # of overlapping pairs, every other one from the left
-            use, rule = place[first], where[first]
-            used = np.bincount(rule, minlength=len(chosen))
-            if (used[used > 0] >= LEAST_COUNT).all():
-                break
-            hit = used[where] >= LEAST_COUNT
-            place, where = place[hit], where[hit]
-        keep = np.flatnonzero(used)
-        if not len(keep):
-            break
-        number = np.zeros(len(chosen), np.int64)
-        number[keep] = base + len(rules) + np.arange(len(keep))
-        pair = chosen[keep]
-        rules = np.vstack((rules, np.stack((pair >> kind(shift), pair & kind((1 << shift) - 1)), 1).astype(np.uint32)))
-        seq[use] = number[rule].astype(kind)
-        last[use] = last[use + 1]
-        stay = np.ones(len(seq), bool)
-        stay[use + 1] = False
-        before = len(seq)
-        seq, last = seq[stay], last[stay]
-        if before - len(seq) < before // 100:
-            break
-    return seq.astype(np.uint32), np.flatnonzero(last) + 1, rules
+        at, first, count = at[np.repeat(often, count)], first[often], count[often]
+        pick = count >= max(least, int(count.max()) // part)
+        todo, chosen, count = at[np.repeat(pick, count)], pair[first[pick]], count[pick]
+        order = np.argsort(count, kind="stable")
+        rank = np.empty(len(chosen), np.uint32)
+        rank[order] = np.arange(1, len(chosen) + 1)
+        rank_at[todo] = np.repeat(rank, count)
+        todo.sort()
+        use, rule = [], []
+        while len(todo):  # a place goes to its pair if neither neighbour's ranks above; then to the next
+            own, a, b = rank_at[todo], before[todo], after[todo]
+            wins = (own > rank_at[a]) & (own > rank_at[b])
+            use.append(todo[wins])
+            rule.append(order[own[wins] - 1])
+            rank_at[use[-1]] = rank_at[a[wins]] = rank_at[b[wins]] = 0
+            todo = todo[rank_at[todo] > 0]
+        use, rule = np.concatenate(use), np.concatenate(rule)
+        kept = np.bincount(rule, minlength=len(chosen)) >= least  # the most frequent pair always is
+        if not kept.all():
+            stay = kept[rule]
+            use, rule = use[stay], rule[stay]
+        chosen = chosen[kept]
+        rules.append(np.stack((chosen >> np.uint64(bits), chosen & np.uint64((1 << bits) - 1)), 1).astype(np.uint32))
+        seq[use] = (np.cumsum(kept) - 1 + made)[rule]
+        made += len(chosen)
+        gone = after[use]
+        marked[use] = marked[gone] = True
+        after[use] = after[gone]
+        before[after[use]] = use
+        before[n] = n
+        at = np.append(at, odd)
+        near = before[use]
+        near = near[near < n]
+        live = np.concatenate((at[~marked[at] & ~marked[after[at]]], near[~marked[near]], use[after[use] < n])).astype(np.int32)
+        marked[use] = False  # what is gone stays marked
+    where = np.flatnonzero(~marked[:n])
+    return seq[where], np.flatnonzero(after[where] == n) + 1, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
 
 
 def lengths_of(rules: np.ndarray, base: int) -> np.ndarray:
@@ -124,20 +161,26 @@ def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
     return out.astype(np.uint32)
 
 
-def pack_block(ids: np.ndarray, ends: np.ndarray, base: int) -> bytes:
-    symbols, at, rules = repair(ids, ends, base)
+def pack_block(ids: np.ndarray, ends: np.ndarray, n_ids: int) -> bytes:
+    """ids: below n_ids. Those that occur are numbered anew, so that symbols stay short."""
+    there = np.zeros(n_ids, bool)
+    there[ids] = True
+    alphabet = np.flatnonzero(there)
+    base = len(alphabet)
+    number = np.cumsum(there, dtype=np.uint32) - np.uint32(1)
+    symbols, at, rules = repair(number[ids], ends, base)
     width = 2 if base + len(rules) <= 1 << 16 else 4
     kind = f"<u{width}"
     head = _HEAD.pack(MAGIC, width, base, len(rules), len(ends), len(symbols))
-    return b"".join((head, rules.astype(kind).tobytes(), lengths_of(rules, base).astype("<u4").tobytes(), at.astype("<u4").tobytes(), symbols.astype(kind).tobytes()))
+    return b"".join((head, alphabet.astype("<u4").tobytes(), rules.astype(kind).tobytes(), lengths_of(rules, base).astype("<u4").tobytes(), at.astype("<u4").tobytes(), symbols.astype(kind).tobytes()))
 
 
 class Block:
     """A block's parts, as views of its bytes."""
 
     def __init__(self, data: bytes) -> None:
-        magic, width, self.base, n_rules, n_docs, n_symbols = _HEAD.unpack_from(data)
-        if magic != MAGIC or width not in (2, 4) or len(data) != _HEAD.size + 2 * width * n_rules + 4 * n_rules + 4 * n_docs + width * n_symbols:
+        magic, width, self.base, n_rules, n_docs, n_symbols = _HEAD.unpack_from(data) if len(data) >= _HEAD.size else (b"", *[0] * 5)
+        if magic != MAGIC or width not in (2, 4) or len(data) != _HEAD.size + 4 * (self.base + n_rules + n_docs) + width * (2 * n_rules + n_symbols):
             raise ValueError("not a whole block of token ids")
         at = _HEAD.size
 
@@ -147,32 +190,37 @@ class Block:
             at += out.nbytes
             return out
 
+        self.alphabet = part("<u4", self.base)
         self.rules = part(f"<u{width}", 2 * n_rules).reshape(-1, 2).astype(np.int64)
         self.lengths, self.ends, self.symbols = part("<u4", n_rules), part("<u4", n_docs), part(f"<u{width}", n_symbols)
 
-    def sizes(self) -> np.ndarray:
-        """Number of ids of every symbol."""
-        out = np.ones(len(self.symbols), np.int64)
-        big = self.symbols >= self.base
-        out[big] = self.lengths[self.symbols[big].astype(np.int64) - self.base]
+    def sizes(self, a: int = 0, b: int | None = None) -> np.ndarray:
+        """Number of ids of the symbols a to b."""
+        own = self.symbols[a:b]
+        out = np.ones(len(own), np.int64)
+        big = own >= self.base
+        out[big] = self.lengths[own[big].astype(np.int64) - self.base]
         return out
 
     def document(self, k: int, start: int = 0, stop: int | None = None) -> np.ndarray:
         """Ids start to stop of the block's document k; only the symbols that they lie in are expanded."""
         a, b = (int(self.ends[k - 1]) if k else 0), int(self.ends[k])
         own = self.symbols[a:b]
-        upto = np.cumsum(self.sizes()[a:b])
+        upto = np.cumsum(self.sizes(a, b))
         stop = int(upto[-1]) if stop is None else min(stop, int(upto[-1]))
         if start >= stop:
             return np.zeros(0, np.uint32)
         i, j = int(np.searchsorted(upto, start, "right")), int(np.searchsorted(upto, stop, "left")) + 1
         skip = start - (int(upto[i - 1]) if i else 0)
-        return expand(own[i:j], self.rules, self.base)[skip : skip + stop - start]
+        return self.alphabet[expand(own[i:j], self.rules, self.base)[skip : skip + stop - start]]
 
     def ids(self) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and where each document's end."""
-        upto = np.append(0, np.cumsum(self.sizes()))
-        return expand(self.symbols, self.rules, self.base), upto[self.ends]
+        """All ids, and where each document's end: every rule is expanded once."""
+        sizes = self.sizes()
+        flat = self.alphabet[np.append(np.arange(self.base, dtype=np.uint32), expand(self.rules.ravel(), self.rules, self.base))]
+        # ids stand for themselves; the expansion of a rule follows those of the rules before it
+        starts = np.append(np.arange(self.base), self.base + np.cumsum(self.lengths, dtype=np.int64) - self.lengths)
+        return gather_spans(flat, starts[self.symbols], sizes), np.append(0, np.cumsum(sizes))[self.ends]
 
 
 def write_shards(docs: DataFrame, path: str, folder: str, *, end_id: int | None = END_ID, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> None:
@@ -213,8 +261,9 @@ def write_shards(docs: DataFrame, path: str, folder: str, *, end_id: int | None
     if end_id is None:
         raise ValueError("a document without ids has no place in a block: an end id is needed")
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    # equal ids meet in one shard; the text settles their order
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # rows of one id, which may be many, are told apart by a hash and then by their place
+    rows = rows.withColumn("hash", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange("doc_id", "hash", "place").sortWithinPartitions("doc_id", "hash", "place").select("doc_id", "text")
     rows.mapInArrow(run, SCHEMA).write.parquet(folder)
 
 
@@ -244,23 +293,20 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
 def read_digests(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files alone."""
     blocks = spark.read.schema(SCHEMA).parquet(folder)
-    # a number for each shard, and shards are tasks of the writer
-    totals = {r["shard"]: r["n"] for r in blocks.groupBy("shard").agg({"n_tokens": "sum"}).withColumnRenamed("sum(n_tokens)", "n").collect()}
-    base, before = {}, 0
-    for shard in sorted(totals):
-        base[shard] = before
-        before += totals[shard]
-    shared = spark.sparkContext.broadcast(base)
+    # a row for each shard, and shards are tasks of the writer
+    shards = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
+    earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    shards = shards.select("shard", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    blocks = blocks.join(F.broadcast(shards), "shard").withColumn("first", F.col("base") + F.col("first_token"))
 
     def make(row, block):
         ids, ends = block.ids()
         starts = np.append(0, ends[:-1])
         data = ids.astype("<u4").tobytes()
         crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-        first = shared.value[row["shard"].as_py()] + row["first_token"].as_py()
-        return pa.RecordBatch.from_arrays([row["doc_ids"].values, pa.array(first + starts, pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+        return pa.RecordBatch.from_arrays([row["doc_ids"].values, pa.array(row["first"].as_py() + starts, pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return _per_document(blocks.select("shard", "first_token", "doc_ids", "grammar"), "doc_id long, start long, n_tokens long, ids_crc32 long", make)
+    return _per_document(blocks.select("first", "doc_ids", "grammar"), "doc_id long, start long, n_tokens long, ids_crc32 long", make)
 
 
 def roundtrip(docs: DataFrame, path: str) -> DataFrame:
