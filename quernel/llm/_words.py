@@ -13,8 +13,6 @@ import pyarrow as pa
 
 #: Texts are worked on in buffers of about so many bytes.
 CHUNK_BYTES = 1 << 20
-_MULT = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
 
 
 def give_back() -> None:
@@ -53,37 +51,20 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES):
         i = j
 
 
-class SpanHasher:
-    """64-bit polynomial hashes of spans of a buffer, from one prefix sum."""
-
-    def __init__(self) -> None:
-        self.table = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-        self.powers = self.inverse = np.zeros(0, np.uint64)
-
-    def _grow(self, n: int) -> None:
-        if len(self.powers) < n:
-            n = max(n, 1 << 16)
-            inv = pow(_MULT, -1, 1 << 64)
-            for name, base in (("powers", _MULT), ("inverse", inv)):
-                out = np.empty(n, np.uint64)
-                out[0] = 1
-                k = 1
-                while k < n:
-                    step = np.uint64(pow(base, k, 1 << 64))
-                    m = min(k, n - k)
-                    out[k : k + m] = out[:m] * step
-                    k += m
-                setattr(self, name, out)
-
-    def __call__(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        self._grow(len(raw) + 1)
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(self.table[raw] * self.powers[: len(raw)], out=sums[1:])
-        h = (sums[ends] - sums[starts]) * self.inverse[starts]
-        h ^= (ends - starts).astype(np.uint64) << np.uint64(58)
-        h ^= h >> np.uint64(31)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        return h ^ (h >> np.uint64(29))
+#: mask[n] keeps the n lowest bytes of a 64-bit number.
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+SHORT_WORD = 15
+
+
+def word_keys(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Two numbers for each word of up to ``SHORT_WORD`` bytes: its bytes, with its length on top, so no two share them."""
+    padded = np.concatenate((raw, np.zeros(24, np.uint8)))
+    eight = np.ndarray((len(raw) + 16,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    size = ends - starts
+    out = np.empty((len(starts), 2), np.uint64)
+    out[:, 0] = eight[starts] & _LOW[np.minimum(size, 8)]
+    out[:, 1] = eight[starts + 8] & _LOW[np.clip(size - 8, 0, 7)] | size.astype(np.uint64) << np.uint64(56)
+    return out
 
 
 def gather_spans(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -98,83 +79,142 @@ def gather_spans(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) ->
 
 
 class WordCache:
-    """Hash of a word -> span of a flat value array, or one value; kept by a task from batch to batch.
+    """Word -> span of a flat value array; kept by a worker from batch to batch and from task to task.
 
-    At ``limit`` words it starts anew, so its memory is bounded; no result depends on it.
+    Words are told apart by all of their bytes: short ones by their two numbers in a hash table, longer ones by a
+    dictionary. At ``limit`` words, or as many bytes of longer ones as ``LONG_BYTES``, the cache starts anew, so its
+    memory is bounded; no result depends on it.
     """
 
-    def __init__(self, dtype, limit: int = 1_000_000) -> None:
+    LONG_BYTES = 1 << 22
+
+    def __init__(self, dtype, limit: int = 500_000) -> None:
         self.dtype, self.limit = dtype, limit
         self.clear()
 
     def clear(self) -> None:
-        self.bits = 16
-        self.slots = np.full(1 << self.bits, -1, np.int32)
-        self.hashes = np.zeros(0, np.uint64)
+        self._table(1 << 14)
+        self.keys = np.zeros((0, 2), np.uint64)
         self.starts = np.zeros(0, np.int64)
-        self.lengths = np.zeros(0, np.int64)
+        self.lengths = np.zeros(0, np.int32)
         self.flat = np.zeros(0, self.dtype)
-        self.n = self.used = 0
-
-    def _find(self, h: np.ndarray) -> np.ndarray:
-        """Entry of each hash, -1 where there is none."""
-        out = np.full(len(h), -1, np.int64)
-        mask = np.uint64((1 << self.bits) - 1)
-        todo, at = np.arange(len(h)), (h & mask).astype(np.int64)
+        self.others: dict[bytes | int, int] = {}
+        self.n = self.used = self.long_bytes = 0
+
+    def _table(self, size: int) -> None:
+        self.slot_key = np.zeros((size, 2), np.uint64)
+        self.slot_entry = np.full(size, -1, np.int32)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        h = (keys[:, 0] ^ keys[:, 1] * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0x9E3779B97F4A7C15)
+        return ((h ^ h >> np.uint64(32)) & np.uint64(len(self.slot_entry) - 1)).astype(np.int64)
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Entry of each key, -1 where there is none."""
+        at = self._slot(keys)
+        out = self.slot_entry[at]
+        at_key = self.slot_key.take(at, axis=0)
+        other = np.flatnonzero((out >= 0) & ((at_key[:, 0] != keys[:, 0]) | (at_key[:, 1] != keys[:, 1])))
+        mask, todo = len(self.slot_entry) - 1, other
+        at = at[other]
         while len(todo):
-            entry = self.slots[at]
-            same = (entry >= 0) & (self.hashes[np.maximum(entry, 0)] == h[todo]) if self.n else entry >= 0
-            out[todo[same]] = entry[same]
+            at = (at + 1) & mask
+            entry = self.slot_entry[at]
+            same = (self.slot_key.take(at, axis=0) == keys.take(todo, axis=0)).all(axis=1)
+            out[todo] = np.where(same, entry, -1)
             go = (entry >= 0) & ~same
-            todo, at = todo[go], (at[go] + 1) & int(mask)
+            todo, at = todo[go], at[go]
         return out
 
-    def _insert(self, h: np.ndarray, entries: np.ndarray) -> None:
-        mask = (1 << self.bits) - 1
-        todo, at = np.arange(len(h)), (h & np.uint64(mask)).astype(np.int64)
+    def _insert(self, keys: np.ndarray, entries: np.ndarray) -> None:
+        """Keys that differ from each other and from all that are there."""
+        mask = len(self.slot_entry) - 1
+        todo, at = np.arange(len(keys)), self._slot(keys)
         while len(todo):
-            free = self.slots[at] < 0
-            self.slots[at[free]] = entries[todo[free]]  # of several, the last stays
-            placed = free & (self.slots[at] == entries[todo])
+            free = self.slot_entry[at] < 0
+            self.slot_entry[at[free]] = entries[todo[free]]  # of several, the last stays
+            placed = free & (self.slot_entry[at] == entries[todo])
+            self.slot_key[at[placed]] = keys[todo[placed]]
             todo, at = todo[~placed], (at[~placed] + 1) & mask
 
     @staticmethod
     def _room(a: np.ndarray, need: int) -> np.ndarray:
         if need <= len(a):
             return a
-        out = np.zeros(max(need, 2 * len(a), 1024), a.dtype)
+        out = np.zeros((max(need, len(a) * 3 // 2, 1024), *a.shape[1:]), a.dtype)
         out[: len(a)] = a
         return out
 
-    def _add(self, h: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> None:
-        n, m, used = self.n, len(h), self.used
-        self.hashes, self.starts, self.lengths = (self._room(a, n + m) for a in (self.hashes, self.starts, self.lengths))
+    def _add(self, lengths: np.ndarray, flat: np.ndarray, keys: np.ndarray | None = None) -> int:
+        """The first of the new entries, which are numbered on. keys: of short words, else another table has them."""
+        n, m, used = self.n, len(lengths), self.used
+        self.keys, self.starts, self.lengths = (self._room(a, n + m) for a in (self.keys, self.starts, self.lengths))
         self.flat = self._room(self.flat, used + len(flat))
-        self.hashes[n : n + m], self.lengths[n : n + m] = h, lengths
+        self.lengths[n : n + m] = lengths
         self.starts[n : n + m] = used + np.cumsum(lengths) - lengths
         self.flat[used : used + len(flat)] = flat
+        self.keys[n : n + m] = 0 if keys is None else keys
         self.n, self.used = n + m, used + len(flat)
-        if self.n * 3 > len(self.slots):
-            while self.n * 3 > (1 << self.bits):
-                self.bits += 2
-            self.slots = np.full(1 << self.bits, -1, np.int32)
-            self._insert(self.hashes[: self.n], np.arange(self.n, dtype=np.int32))
-        else:
-            self._insert(h, np.arange(n, n + m, dtype=np.int32))
-
-    def lookup(self, h: np.ndarray, make) -> np.ndarray:
-        """The entry of each hash. make(positions) -> (lengths, flat values) of words that are new."""
-        if self.n > self.limit:
-            self.clear()
-        entry = self._find(h)
-        missing = np.flatnonzero(entry < 0)
+        if keys is not None:
+            if self.n * 2 > len(self.slot_entry):
+                size = len(self.slot_entry)
+                while self.n * 2 > size:
+                    size *= 2
+                self._table(size)
+                short = np.flatnonzero(self.keys[: self.n, 1])  # a short word has a length there
+                self._insert(self.keys[short], short.astype(np.int32))
+            else:
+                self._insert(keys, np.arange(n, n + m, dtype=np.int32))
+        return n
+
+    def _by_name(self, names: list, make) -> np.ndarray:
+        """Entries by anything hashable."""
+        found = np.array([self.others.get(x, -1) for x in names], np.int64)
+        missing = np.flatnonzero(found < 0)
         if len(missing):
-            new, first, inverse = np.unique(h[missing], return_index=True, return_inverse=True)
-            lengths, flat = make(missing[first])
-            base = self.n
-            self._add(new, lengths, flat)
-            entry[missing] = base + inverse
-        return entry
+            first: dict = {}
+            for i in missing.tolist():
+                first.setdefault(names[i], i)
+            base = self._add(*make(np.array(list(first.values()))))
+            self.others.update(zip(first, range(base, self.n), strict=True))
+            self.long_bytes += sum(len(x) for x in first if isinstance(x, bytes))
+            found[missing] = [self.others[names[i]] for i in missing.tolist()]
+        return found
+
+    def lookup(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, make, apart: dict[int, int] | None = None) -> np.ndarray:
+        """The entry of each word. make(positions) -> (lengths, flat values) of words that are new.
+
+        apart: number of some positions, which are told apart from words and by that number alone.
+        """
+        if self.n > self.limit or self.long_bytes > self.LONG_BYTES:
+            self.clear()
+        size = ends - starts
+        long = size > SHORT_WORD
+        if apart:
+            long[list(apart)] = True
+        out = np.empty(len(starts), np.int64)
+        rest = np.flatnonzero(long)
+        own = np.flatnonzero(~long) if len(rest) else np.arange(len(starts))
+        if len(own):
+            keys = word_keys(raw, starts[own], ends[own])
+            entry = self._find(keys).astype(np.int64)
+            todo = np.flatnonzero(entry < 0)
+            while len(todo):
+                _, first, inverse = np.unique(keys[todo, 0] * np.uint64(0x9E3779B97F4A7C15) ^ keys[todo, 1], return_index=True, return_inverse=True)
+                new = todo[first]
+                same = (keys.take(new[inverse], axis=0) == keys.take(todo, axis=0)).all(axis=1)  # else two words share that number: the other waits
+                base = self._add(*make(own[new]), keys[new])
+                entry[todo[same]] = base + inverse[same]
+                todo = todo[~same]
+                if len(todo):
+                    found = self._find(keys[todo])
+                    entry[todo] = found
+                    todo = todo[found < 0]
+            out[own] = entry
+        if len(rest):
+            names = [apart[i] if apart and i in apart else raw[a:b].tobytes() for i, a, b in zip(rest.tolist(), starts[rest].tolist(), ends[rest].tolist(), strict=True)]
+            out[rest] = self._by_name(names, lambda new: make(rest[new]))
+        return out
 
 
 def space_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -28,7 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ._words import CHUNK_BYTES, SpanHasher, WordCache, chunks, gather_spans, give_back, text_buffer
+from ._words import CHUNK_BYTES, WordCache, chunks, gather_spans, give_back, text_buffer
 
 LONG_WORD = 48
 #: Words that the library encodes at once.
@@ -88,7 +88,7 @@ class RankArrayBPE:
         merged = np.array([vocab[a + b] for a, b in pairs], np.int32)
         self.pair_rank = {(int(a), int(b)): (r, int(c)) for r, (a, b, c) in enumerate(zip(left, right, merged, strict=True))}
         self._table(left << np.uint64(32) | right, merged)
-        self.cache, self.hasher = WordCache(np.uint32), SpanHasher()
+        self.cache = WordCache(np.uint32)
 
     def _table(self, keys: np.ndarray, merged: np.ndarray) -> None:
         self.bits = max(10, int(np.ceil(np.log2(max(len(keys), 1) * 5))))
@@ -274,15 +274,16 @@ class RankArrayBPE:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         starts, special = self.spans(raw, offsets)
         ends = np.append(starts[1:], len(raw))
-        hashes = self.hasher(raw, starts, ends)
-        plain = np.flatnonzero(special < 0)
-        entry = np.empty(len(starts), np.int64)
-        entry[plain] = self.cache.lookup(hashes[plain], lambda new: self.encode_words(raw, starts[plain[new]], ends[plain[new]]))
-        other = np.flatnonzero(special >= 0)
-        if len(other):
-            key = special[other].astype(np.uint64) ^ np.uint64(0x5DEECE66D5DEECE6)
-            entry[other] = self.cache.lookup(key, lambda new: (np.ones(len(new), np.int64), special[other[new]].astype(np.uint32)))
-        n_ids = self.cache.lengths[entry]
+        apart = {int(i): int(special[i]) for i in np.flatnonzero(special >= 0)}
+
+        def make(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            if apart and any(i in apart for i in new.tolist()):  # special tokens come together with long words
+                parts = [np.array([apart[i]], np.uint32) if i in apart else self.encode_words(raw, starts[i : i + 1], ends[i : i + 1])[1] for i in new.tolist()]
+                return np.array([len(x) for x in parts]), np.concatenate(parts)
+            return self.encode_words(raw, starts[new], ends[new])
+
+        entry = self.cache.lookup(raw, starts, ends, make, apart)
+        n_ids = self.cache.lengths[entry].astype(np.int64)
         ids = gather_spans(self.cache.flat, self.cache.starts[entry], n_ids)
         upto = np.zeros(len(starts) + 1, np.int64)
         np.cumsum(n_ids, out=upto[1:])
@@ -312,9 +313,7 @@ class RankArrayBPE:
             at = to
 
     def release(self) -> None:
-        """At the end of a task: the vocabulary stays, what the texts have filled goes."""
-        self.cache.clear()
-        self.hasher = SpanHasher()
+        """At the end of a task: vocabulary and cache stay, both of bounded size, and what batches took goes."""
         give_back()
 
     def decode(self, ids: np.ndarray) -> bytes:

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._words import SpanHasher, WordCache, chunks, give_back, space_words, text_buffer
+from ._words import WordCache, chunks, give_back, space_words, text_buffer
 from .bpe import byte_symbols
 
 
@@ -66,12 +66,10 @@ class LongestMatch:
             while self.nodes[at] >= 0:
                 at = (at + 1) & (len(self.keys) - 1)
             self.keys[at], self.nodes[at] = key, node
-        self.cache, self.hasher = WordCache(np.int32), SpanHasher()
+        self.cache = WordCache(np.int32)
 
     def release(self) -> None:
-        """At the end of a task: the automaton stays, what the texts have filled goes."""
-        self.cache.clear()
-        self.hasher = SpanHasher()
+        """At the end of a task: automaton and cache stay, both of bounded size, and what batches took goes."""
         give_back()
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
@@ -131,7 +129,7 @@ class LongestMatch:
         for i, j in chunks(offsets):
             own = raw[offsets[i] : offsets[j]]
             starts, ends, before = space_words(own, offsets[i : j + 1] - offsets[i])
-            entry = self.cache.lookup(self.hasher(own, starts, ends), lambda new: (np.ones(len(new), np.int64), self.count_words(own, starts[new], ends[new]).astype(np.int32)))  # noqa: B023
+            entry = self.cache.lookup(own, starts, ends, lambda new: (np.ones(len(new), np.int64), self.count_words(own, starts[new], ends[new]).astype(np.int32)))  # noqa: B023
             upto = np.append(0, np.cumsum(self.cache.flat[self.cache.starts[entry]].astype(np.int64)))
             yield np.diff(before), np.diff(upto[before])
 
