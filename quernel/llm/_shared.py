@@ -91,3 +91,18 @@ def join_by_key(rows: DataFrame, table: DataFrame, key: str, n_rows: int, *, cou
     hot = F.broadcast(table.where(F.col(count_col) > least))
     others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(F.col(count_col) <= least), key)
     return rows.join(hot, key).unionByName(others)
+
+
+def salted(rows: DataFrame, table: DataFrame, key: str, by: Column, n_rows: int, *, count_col: str = "n", hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame, list[str]]:
+    """rows, a table that has one row for each key and ``count_col``, how many of rows have it, and what to join them on.
+
+    A key of more than ``hot_rows`` rows is cut into as many parts as it has times that many; ``by`` tells its rows
+    apart. Rows learn the parts of hot keys, ``MOST_HOT`` at most, from a broadcast; any kind of join may follow.
+    """
+    least = max(hot_rows, n_rows // MOST_HOT)
+    if n_rows <= least:
+        return rows, table, [key]
+    parts = F.ceil(F.col(count_col) / least).cast("int")
+    hot = F.broadcast(table.where(F.col(count_col) > least).select(key, parts.alias("__parts")))
+    rows = rows.join(hot, key, "left").withColumn("__salt", F.when(F.col("__parts").isNotNull(), F.pmod(F.xxhash64(by), F.col("__parts"))).otherwise(F.lit(0)).cast("int")).drop("__parts")
+    return rows, table.withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1))), [key, "__salt"]

@@ -84,10 +84,9 @@ w AS (SELECT rid, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, list_filte
 wins AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS win FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)),
 hits AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, win) AS c FROM wins) WHERE c > 1),
 cover AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM hits) GROUP BY rid),
-lines AS (SELECT rid, source, trim(lower(x), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM (SELECT rid, source, unnest(string_split(t, chr(10))) AS x FROM d)),
+lines AS (SELECT rid, source, t, trim(lower(x), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM (SELECT rid, source, t, unnest(string_split(t, chr(10))) AS x FROM d)),
 long AS (SELECT * FROM lines WHERE strlen(line) >= {quality.MIN_LINE_BYTES}),
-hosts AS (SELECT source, count(*) AS size FROM d GROUP BY source),
-often AS (SELECT f.source, f.line FROM (SELECT source, line, count(DISTINCT rid) AS docs FROM long GROUP BY source, line) f JOIN hosts h ON f.source IS NOT DISTINCT FROM h.source WHERE docs > {quality.MIN_DOCS} AND docs > size * {quality.SHARE}),
+often AS (SELECT source, line FROM long GROUP BY source, line HAVING count(DISTINCT t) > {quality.MIN_DOCS}),
 gone AS (SELECT rid, CAST(sum(strlen(long.line)) AS BIGINT) AS n FROM long JOIN often ON long.source IS NOT DISTINCT FROM often.source AND long.line = often.line GROUP BY rid),
 base AS (
   SELECT d.rid, doc_id, strlen(t) AS size, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,

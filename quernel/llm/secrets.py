@@ -210,7 +210,7 @@ _STEP = 256
 
 
 def with_candidates(docs: DataFrame, forest: Forest, *, text_col: str = "text", path_col: str | None = "source") -> DataFrame:
-    """Adds __cut (gap and candidate together), __found (start, value, score) and __end (what they take of the text)."""
+    """docs: without columns of those names. Adds __cut (gap and candidate together), __found (start, value, score) and __end (what they take of the text)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
     out = docs.withColumn("__cut", F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
@@ -242,21 +242,29 @@ def with_candidates(docs: DataFrame, forest: Forest, *, text_col: str = "text",
 def scan(docs: DataFrame, forest: Forest | None = None, *, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", threshold: float = THRESHOLD) -> DataFrame:
     """A row for each candidate: id, start, length, value, score, is_secret."""
     forest = forest or built_in_forest(docs.sparkSession)
-    columns = list(dict.fromkeys([id_col, text_col, *([path_col] if path_col else [])]))
-    found = with_candidates(docs.select(*columns), forest, text_col=text_col, path_col=path_col)
+    path = F.col(f"`{path_col}`") if path_col else F.lit(None)
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), path.cast("string").alias("path"))
+    found = with_candidates(rows, forest, text_col="text", path_col="path")
     # explode() would infer a filter on the array's size, which is pushed below and makes the array there once more
-    out = found.select(F.col(id_col), F.explode_outer("__found").alias("x")).where("x IS NOT NULL")
-    return out.select(id_col, "x.start", F.length("x.value").cast("long").alias("length"), "x.value", "x.score", (F.col("x.score") >= threshold).alias("is_secret"))
+    out = found.select("id", F.explode_outer("__found").alias("x")).where("x IS NOT NULL")
+    return out.select(F.col("id").alias(id_col), "x.start", F.length("x.value").cast("long").alias("length"), "x.value", "x.score", (F.col("x.score") >= threshold).alias("is_secret"))
 
 
 def redact(docs: DataFrame, forest: Forest | None = None, *, text_col: str = "text", path_col: str | None = "source", length_col: str | None = None, threshold: float = THRESHOLD, mask: str = MASK) -> DataFrame:
-    """docs with every secret replaced by a mask; texts without one stay as they are."""
+    """docs with every secret replaced by a mask; texts without one stay as they are.
+
+    The columns of docs travel in one struct, so no helper can have the name of one.
+    """
     forest = forest or built_in_forest(docs.sparkSession)
-    found = with_candidates(docs, forest, text_col=text_col, path_col=path_col)
+    path = F.col(f"`{path_col}`") if path_col else F.lit(None)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"), path.cast("string").alias("path"))
+    found = with_candidates(rows, forest, text_col="text", path_col="path")
     parts = F.zip_with("__cut", "__found", lambda cut, x: F.when(x["score"] >= threshold, F.concat(F.substring(cut, F.lit(1), F.length(cut) - F.length(x["value"])), F.lit(mask))).otherwise(cut))
-    rest = F.substring(F.col(text_col), (F.col("`__end`") + 1).cast("int"), F.length(text_col))
+    rest = F.substring(F.col("text"), (F.col("`__end`") + 1).cast("int"), F.length("text"))
     has = F.exists("__found", lambda x: x["score"] >= threshold)
-    out = found.withColumn(text_col, F.when(has, F.concat(F.array_join(parts, ""), rest)).otherwise(F.col(text_col)))
+    out = found.select("row", F.when(has, F.concat(F.array_join(parts, ""), rest)).alias("masked"))
+    own, masked = F.col("row").getField, F.col("masked")
+    changed = {text_col: masked}
     if length_col:
-        out = out.withColumn(length_col, F.when(has, F.length(text_col).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col)))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        changed[length_col] = F.length(masked).cast(docs.schema[length_col].dataType)
+    return out.select(*[(F.when(masked.isNull(), own(c)).otherwise(changed[c]) if c in changed else own(c)).alias(c) for c in docs.columns])

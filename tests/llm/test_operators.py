@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quernel.llm import _words, ann, bpe, packing, quality, secrets, simhash, tokenbin, urls, warc, wordpiece
+from quernel.llm import _shared, _words, ann, bpe, packing, quality, secrets, simhash, tokenbin, urls, warc, wordpiece
 from quernel.llm._shared import ship
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -459,6 +459,41 @@ def test_quality_counts_copies_of_a_text_once(spark):
     assert kept == {i: t if i < 200 else t.removesuffix(f"\n{line}") for i, t, _ in rows}
 
 
+NAMES = ["__kept", "__lines", "__d", "__k", "__cut", "__value", "__sizes", "__blocks", "__upto", "__rest", "__end", "__found", "__salt", "__parts", "__words", "__places", "row", "host", "kept", "size", "key", "lines", "gone", "cleaned", "masked", "n", "n_words", "path", "a.b"]
+
+
+def test_helpers_have_no_name_of_a_column(spark):
+    line = "Subscribe to our weekly letter today"
+    secret = "q7Zp0aVx93LmTr5KdW8sYb2NcEhJ4uGf"
+    rows = [(i, f'{long_text(80, i)}\n{line}\ntoken = "{secret}"', "a") for i in range(25)] + [(30, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    wide = docs.select("*", *[F.concat(F.lit(f"{n}-"), "doc_id").alias(n) for n in NAMES])
+    own = lambda r: [r[n] for n in NAMES]
+    cleaned = quality.clean_documents(wide)
+    assert cleaned.columns == wide.columns
+    found = {r["doc_id"]: r for r in cleaned.collect()}
+    assert {i: r["text"] for i, r in found.items()} == {i: long_text(80, i) for i in range(25)}  # the secret's line is frequent, too
+    assert all(own(r) == [f"{n}-{i}" for n in NAMES] for i, r in found.items())
+    masked = secrets.redact(wide)
+    assert masked.columns == wide.columns
+    for r in masked.collect():
+        i = r["doc_id"]
+        assert own(r) == [f"{n}-{i}" for n in NAMES] and r["text"] == (rows[i][1].replace(secret, secrets.MASK) if i < 30 else None)
+    assert quality.verdicts(wide).count() == 26 and secrets.scan(wide).where("is_secret").count() == 25
+
+
+def test_quality_with_hot_texts_and_lines(spark, monkeypatch):
+    """Repeated rows a third of all, one line in most texts: hot keys are cut into parts."""
+    line = "Subscribe to our weekly letter today"
+    rows = [(1, f"{long_text(80, 1)}\n{line}", "a")] * 200 + [(2 + i, f"{long_text(80, 2 + i)}\n{line}", "a") for i in range(150)] + [(900 + i, long_text(80, 900 + i), None) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(7)
+    expected = collections.Counter((i, len(line) if i < 900 else 0, True) for i, _, _ in rows)
+    for hot in (10, 10_000):
+        monkeypatch.setattr(quality, "salted", lambda *a, hot=hot, **b: _shared.salted(*a, **b, hot_rows=hot))
+        assert collections.Counter((r["doc_id"], r["removed_bytes"], r["kept"]) for r in quality.verdicts(docs).collect()) == expected
+        assert collections.Counter((r["doc_id"], r["text"]) for r in quality.clean_documents(docs).collect()) == collections.Counter((i, t.removesuffix(f"\n{line}")) for i, t, _ in rows)
+
+
 def test_warc(spark, tmp_path):
     ship(spark)
     pages = [(1, "http://a", "same"), (2, "http://b", "same"), (3, None, None), (4, "http://c\n", ""), (5, "u", "ünï" * 1000), (5, "u", "ünï" * 1000), (None, "n", "same"), (None, None, "alone"), (9, "z", "x" * 300_000)]
