@@ -27,14 +27,15 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._shared import new_folder
+from ._shared import new_folder, salted
 
 FRAME, DICTIONARY = 0xFD2FB528, 0x184D2A5D
 #: An empty skippable frame of magic 0x184D2A50.
 SEPARATOR = "P*M\x18\x00\x00\x00\x00"
-#: The dictionary is trained from so many payloads at most, of so many characters each.
+#: The dictionary is trained from about so many payloads, from a window of so many characters of each.
 DICTIONARY_PAGES, DICTIONARY_CHARS, DICTIONARY_BYTES = 400, 8_192, 32_768
-SALTS = 16
+#: An archive is read as one value, so it is bounded.
+ARCHIVE_RECORDS = 2_048
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 _ID = re.compile(r"<urn:x-page:(none|-?\d+)>")
@@ -45,10 +46,19 @@ def digest32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def train_dictionary(pages: DataFrame, *, html_col: str = "html", id_col: str = "page_id") -> bytes:
-    """A dictionary from a bounded sample of payloads, chosen by hash; empty where there are too few."""
-    rows = pages.where(F.length(html_col) > 0).select(F.xxhash64(id_col, F.substring(html_col, 1, 64)).alias("h"), F.substring(html_col, 1, DICTIONARY_CHARS).alias("x"))
-    samples = [r["x"].encode() for r in rows.orderBy("h", "x").limit(DICTIONARY_PAGES).collect()]
+def train_dictionary(pages: DataFrame, *, html_col: str = "html", n_pages: int | None = None) -> bytes:
+    """A dictionary from windows of about ``DICTIONARY_PAGES`` payloads, by a hash of the row's number; empty where there are too few.
+
+    A window lies anywhere in its payload. No task sends more than its share of the sample.
+    """
+    n_pages = pages.count() if n_pages is None else n_pages
+    number = F.xxhash64(F.monotonically_increasing_id())
+    rows = pages.select(F.col(f"`{html_col}`").alias("x"), number.alias("h"))
+    if n_pages > DICTIONARY_PAGES:
+        rows = rows.where(F.pmod("h", F.lit(1 << 40)) < int(DICTIONARY_PAGES / n_pages * (1 << 40)))
+    start = F.pmod(F.xxhash64("h"), F.greatest(F.length("x") - DICTIONARY_CHARS, F.lit(0)) + 1) + 1
+    rows = rows.where(F.length("x") > 0).select(F.substring("x", start.cast("int"), F.lit(DICTIONARY_CHARS)).alias("x"))
+    samples = [r["x"].encode() for r in rows.collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=512, d=8, level=3).as_bytes() if len(samples) >= 16 else b""
     except zstandard.ZstdError:
@@ -69,39 +79,44 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, refers_to
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def with_origins(pages: DataFrame, *, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", salts: int = SALTS) -> DataFrame:
+def with_origins(pages: DataFrame, *, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", n_pages: int | None = None) -> DataFrame:
     """page_id, url, html (never null), refers_to and revisit of every row."""
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.alias("html"))
-    rows = rows.withColumn("key", F.sha1(F.encode("html", "UTF-8"))).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
+    rows = rows.withColumn("key", F.sha1(F.encode("html", "UTF-8")))
     shared = rows.select("key", "page_id").groupBy("key").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 AND first IS NOT NULL")
-    shared = shared.select("key", "first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    out = rows.join(shared, ["key", "salt"], "left")
+    rows, shared, on = salted(rows, shared, "key", F.monotonically_increasing_id(), pages.count() if n_pages is None else n_pages)
+    out = rows.join(shared.drop("n"), on, "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")) & (F.octet_length("html") >= least_bytes)
     return out.select("page_id", "url", "html", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
 
 
 def write_archives(pages: DataFrame, folder: str, *, least_bytes: int = 0, level: int = 3, **columns) -> None:
-    """A record for each row, in one archive for each task."""
-    rows = with_origins(pages, least_bytes=least_bytes, **columns)
-    dictionary = train_dictionary(pages, html_col=columns.get("html_col", "html"), id_col=columns.get("id_col", "page_id"))
+    """A record for each row, in archives of ``ARCHIVE_RECORDS`` records at most, each with its dictionary."""
+    n_pages = pages.count()
+    rows = with_origins(pages, least_bytes=least_bytes, n_pages=n_pages, **columns)
+    dictionary = train_dictionary(pages, html_col=columns.get("html_col", "html"), n_pages=n_pages)
+    lead = [struct.pack("<II", DICTIONARY, len(dictionary)) + dictionary] if dictionary else []
 
     def run(batches):
-        first = True
         data = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         packer = zstandard.ZstdCompressor(level=level, dict_data=data, write_content_size=True, write_checksum=True)
+        n = 0
         for batch in batches:
-            if first and dictionary and batch.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array([struct.pack("<II", DICTIONARY, len(dictionary)) + dictionary], pa.binary())], ["frame"])
-            first = first and not batch.num_rows
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 page, url, refers, revisit = (part.column(i).to_pylist() for i in (0, 1, 3, 4))
                 html = (x.as_py().encode() for x in part.column(2))
-                frames = [packer.compress(record_bytes(p, u, h, r, v)) for p, u, h, r, v in zip(page, url, html, refers, revisit, strict=True)]
+                frames = []
+                for p, u, h, r, v in zip(page, url, html, refers, revisit, strict=True):
+                    frames += lead if n % ARCHIVE_RECORDS == 0 else []
+                    frames.append(packer.compress(record_bytes(p, u, h, r, v)))
+                    n += 1
                 yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], ["frame"])
 
-    rows.mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR).text(folder)
+    lines = rows.mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value"))
+    # the writer starts another file after so many lines, and the next line is the dictionary again
+    lines.write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", ARCHIVE_RECORDS + len(lead)).text(folder)
 
 
 def frames(data: bytes):

@@ -516,6 +516,23 @@ def test_warc(spark, tmp_path):
     assert {bytes(r["payload"]).decode() for r in texts} == {h or "" for _, _, h in pages}
 
 
+def test_archives_are_bounded_and_hot_payloads_cut(spark, tmp_path, monkeypatch):
+    ship(spark)
+    pages = [(i, f"http://h/{i}", "the same payload" if i % 2 else f"<p>page {i} of a site with shared words {i * i}</p>") for i in range(300)]
+    frame = spark.createDataFrame(pages, "page_id bigint, url string, html string").repartition(2)
+    monkeypatch.setattr(warc, "ARCHIVE_RECORDS", 50)
+    monkeypatch.setattr(warc, "DICTIONARY_PAGES", 100)
+    monkeypatch.setattr(warc, "salted", lambda *a, **b: _shared.salted(*a, **b, hot_rows=20))
+    warc.write_archives(frame, str(tmp_path / "w"))
+    files = [p.read_bytes() for p in (tmp_path / "w").glob("part-*")]
+    assert len(files) >= 6 and sum(map(len, files))
+    for data in files:
+        kinds = [magic for _, magic, _ in warc.frames(data)]
+        assert kinds[0] == warc.DICTIONARY and kinds.count(warc.DICTIONARY) == 1 and kinds.count(warc.FRAME) <= 50
+    found = warc.read_archives(spark, str(tmp_path / "w")).collect()
+    assert sorted((r["page_id"], r["refers_to"]) for r in found if r["refers_to"] is not None) == [(i, 1) for i in range(3, 300, 2)] and len(found) == 300
+
+
 def test_broken_archives_are_found():
     good = warc.record_bytes(1, "http://a", b"payload", None, False)
     assert warc.parse_record(good)[3] == b"payload"
