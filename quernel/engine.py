@@ -20,7 +20,7 @@ from .operators import dml, relational
 from .plans import nodes as n
 from .plans.emit import BUCKET, SPARK, Column, Emitter, Source, quoted
 from .plans.parser import parse
-from .sources.catalog import Catalog, Table
+from .sources.catalog import MOST_PARTS, Catalog, Table
 from .sources.storage import read_table, settled
 
 CONFS = {"spark.sql.ansi.enabled": "true", "spark.sql.caseSensitive": "true", "spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true"}
@@ -110,8 +110,15 @@ class Engine:
         emitter = self._emitter((None,) * count)
         if isinstance(statement, n.Dql):
             emitter.query(statement.query)
-        elif isinstance(statement, n.Delete) and statement.where is not None:
-            emitter.condition(statement.where, [self._source(self.catalog.table(statement.table), statement.alias)], {}, "WHERE")
+        elif isinstance(statement, (n.Insert, n.Update, n.Delete)):
+            t = self.catalog.table(statement.table)
+            kinds = {c: k for c, k, _ in t.columns}
+            if isinstance(statement, n.Insert):  # a bare parameter is of its column's type
+                for values in emitter.bare_rows(statement.query):
+                    emitter.want(values, [kinds[c] for c in statement.columns or kinds if c in kinds])
+            elif isinstance(statement, n.Update):
+                emitter.want([e for _, e in statement.sets], [kinds.get(c, "scalar") for c, _ in statement.sets])
+            self._source_text(statement, emitter)
         return [emitter.wanted.get(i + 1, "scalar") for i in range(count)]
 
     def explain(self, text: str, params: tuple | list = ()) -> str:
@@ -141,7 +148,9 @@ class Engine:
             case n.Insert() | n.Update() | n.Delete():
                 run = {n.Insert: self._insert, n.Update: self._update, n.Delete: self._delete}[type(s)]
                 if s.explain:
-                    return Result(self.spark.createDataFrame([(f"{type(s).__name__} {s.table}",)], "plan string"), metadata=[{"name": "plan", "type": "string"}])
+                    emitter = self._emitter(params)
+                    plan = self._frame(emitter, f"EXPLAIN FORMATTED {self._source_text(s, emitter)}").head()[0]
+                    return Result(self.spark.createDataFrame([(f"{type(s).__name__} {s.table}\n{plan}",)], "plan string"), metadata=[{"name": "plan", "type": "string"}])
                 return Result(row_count=run(s, params))
             case n.CallProc():
                 return self._call(s, params)
@@ -166,8 +175,10 @@ class Engine:
             return Result(self._frame(emitter, f"EXPLAIN FORMATTED {text}").toDF("plan"), metadata=[{"name": "plan", "type": "string"}])
         df = self._frame(emitter, text)
         most = options.get("vtable_max_rows", 0)
-        if most and df.limit(most + 1).count() > most:
-            raise QueryError(f"the result has more than {most} rows")
+        if most:  # the rows are made once, for the count and for the caller
+            df = settled(df.limit(most + 1))
+            if df.count() > most:
+                raise QueryError(f"the result has more than {most} rows")
         return Result(df, metadata=[{"name": c.name, "type": c.type} for c in columns])
 
     def _changed(self, name: str, new: DataFrame, n_rows: int) -> int:
@@ -203,7 +214,28 @@ class Engine:
         rows = self._frame(emitter, text).toDF(*[f"c{i}" for i in range(len(names))]).withColumn("__at", F.monotonically_increasing_id())
         given = {c: f"c{i}" for i, c in enumerate(names)}
         rows = rows.select(*[(self._typed(given[c], k) if c in given else F.lit(None).cast(SPARK[k])).alias(c) for c, k, _ in t.columns], "__at")
-        return self._changed(s.table, *dml.inserted(t, settled(rows), s.conflict))
+        new, n_rows = dml.inserted(t, settled(rows), s.conflict)
+        if s.conflict == "REPLACE" and t.primary_key or t.parts + 1 >= MOST_PARTS:
+            return self._changed(s.table, new, n_rows)
+        self.catalog.change(s.table, new, parts=t.parts + 1)
+        return n_rows
+
+    def _source_text(self, s: n.Insert | n.Update | n.Delete, emitter: Emitter) -> str:
+        """The query whose rows a statement inserts, changes or deletes."""
+        if isinstance(s, n.Insert):
+            return emitter.query(s.query)[0]
+        t = self.catalog.table(s.table)
+        sources, text = [self._source(t, s.alias)], f"{quoted(t.view)} AS _t"
+        if isinstance(s, n.Delete):
+            items = [f"_t.{quoted(c)}" for c in t.primary_key] or ["*"]
+        else:
+            if s.source is not None:
+                right, source = emitter.scan(s.source, {})
+                text, sources = f"{text} INNER JOIN {right}", [*sources, source]
+            values = [emitter.scalar(e, sources, {}) for _, e in s.sets]
+            items = [f"_t.{quoted(c)}" for c in self._key(t, "UPDATE")] + [f"{e.text} AS _v{i}" for i, e in enumerate(values)]
+        where = f" WHERE {emitter.condition(s.where, sources, {}, 'WHERE')}" if s.where is not None else ""
+        return f"SELECT {', '.join(items)} FROM {text}{where}"
 
     def _key(self, t: Table, what: str) -> tuple[str, ...]:
         if not t.primary_key:
@@ -224,15 +256,7 @@ class Engine:
             if c not in kinds:
                 raise QueryError(f"column {c!r} not found")
         emitter = self._emitter(params)
-        sources = [self._source(t, s.alias)]
-        text = f"{quoted(t.view)} AS _t"
-        if s.source is not None:
-            right, source = emitter.scan(s.source, {})
-            text, sources = f"{text} INNER JOIN {right}", [*sources, source]
-        values = [emitter.scalar(e, sources, {}) for _, e in s.sets]
-        items = [f"_t.{quoted(c)}" for c in key] + [f"{e.text} AS _v{i}" for i, e in enumerate(values)]
-        where = f" WHERE {emitter.condition(s.where, sources, {}, 'WHERE')}" if s.where is not None else ""
-        found = self._frame(emitter, f"SELECT {', '.join(items)} FROM {text}{where}")
+        found = self._frame(emitter, self._source_text(s, emitter))
         found = found.select(*[f"`{c}`" for c in key], *[self._typed(f"_v{i}", kinds[c]).alias(f"_v{i}") for i, c in enumerate(names)])
         return self._changed(s.table, *dml.updated(t, settled(found), {c: f"_v{i}" for i, c in enumerate(names)}))
 
@@ -240,9 +264,9 @@ class Engine:
         t = self.catalog.table(s.table)
         if s.where is None:
             return self._changed(s.table, t.frame.limit(0), t.frame.count())
-        key, emitter = self._key(t, "DELETE"), self._emitter(params)
-        where = emitter.condition(s.where, [self._source(t, s.alias)], {}, "WHERE")
-        keys = self._frame(emitter, f"SELECT {', '.join(f'_t.{quoted(c)}' for c in key)} FROM {quoted(t.view)} AS _t WHERE {where}")
+        self._key(t, "DELETE")
+        emitter = self._emitter(params)
+        keys = self._frame(emitter, self._source_text(s, emitter))
         return self._changed(s.table, *dml.deleted(t, settled(keys)))
 
     def _call(self, s: n.CallProc, params: tuple) -> Result:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..errors import QueryError
 from ..sources.catalog import Table
+from ..sources.storage import settled
 
 
 def _same(a: DataFrame, b: DataFrame, key: tuple[str, ...]):
@@ -26,7 +27,10 @@ def _clash(rows: DataFrame, key: tuple[str, ...]) -> bool:
 
 
 def inserted(table: Table, rows: DataFrame, conflict: str) -> tuple[DataFrame, int]:
-    """rows: in the table's columns, with ``__at``, their order. The new state, and how many rows went in."""
+    """rows: in the table's columns, with ``__at``, their order, in files. The new state, and how many rows went in.
+
+    Rows that only come on top are written alone: the state is the old files and theirs.
+    """
     old, key = table.frame, table.primary_key
     bare = lambda df: df.select(*[f"`{c}`" for c, _, _ in table.columns])
     for c, _, nullable in table.columns:
@@ -43,7 +47,7 @@ def inserted(table: Table, rows: DataFrame, conflict: str) -> tuple[DataFrame, i
         if last:
             old = old.join(rows, _same(old, rows, key), "left_anti")
         else:
-            rows = rows.join(old, _same(rows, old, key), "left_anti")
+            rows = settled(rows.join(old, _same(rows, old, key), "left_anti"))
             n = rows.count()
     new = bare(old).unionByName(bare(rows))
     for name, columns in table.unique.items():

@@ -11,6 +11,9 @@ from ..plans import nodes as n
 from .storage import dialect_type
 
 
+MOST_PARTS = 16
+
+
 @dataclass(frozen=True)
 class Table:
     """columns: (name, type, nullable). shard_key: None for a global table."""
@@ -22,6 +25,8 @@ class Table:
     shard_key: tuple[str, ...] | None = None
     unique: dict[str, tuple[str, ...]] = field(default_factory=dict)
     frame: DataFrame | None = None
+    #: Inserts whose files lie beside the state's; at MOST_PARTS all are written as one.
+    parts: int = 0
 
     def with_frame(self, frame: DataFrame) -> Table:
         frame.createOrReplaceTempView(self.view)
@@ -54,5 +59,5 @@ class Catalog:
         self.tables[name] = Table(name, name, found, tuple(primary_key), tuple(shard_key) if shard_key else None).with_frame(frame)
         return self.tables[name]
 
-    def change(self, name: str, frame: DataFrame) -> None:
-        self.tables[name] = self.table(name).with_frame(frame)
+    def change(self, name: str, frame: DataFrame, *, parts: int = 0) -> None:
+        self.tables[name] = replace(self.table(name).with_frame(frame), parts=parts)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -24,9 +25,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """The same rows from files in the shared folder, so that a table's state doesn't carry every change before it."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The same rows from Parquet files in the shared folder: a table's state doesn't carry every change before it, and
+    filters and columns reach the scan.
+    """
+    folder = f"{shared_folder(df.sparkSession)}/state-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:

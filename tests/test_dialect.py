@@ -211,3 +211,37 @@ def test_filters_and_columns_reach_the_scan(spark, tmp_path):
     plan = e.explain("SELECT s.a FROM (SELECT * FROM t) AS s WHERE s.id > 90")
     assert "PushedFilters: [IsNotNull(id), GreaterThan(id,90)]" in plan
     assert "ReadSchema: struct<id:bigint,a:bigint>" in plan
+
+
+def test_parameters_of_changes_have_the_types_of_their_columns(spark):
+    e = Engine(spark)
+    e.execute("CREATE TABLE p (id int NOT NULL, name string, amount double, PRIMARY KEY (id)) DISTRIBUTED BY (id)")
+    assert e.parameter_types("INSERT INTO p VALUES ($1, $2, $3)") == ["integer", "string", "double"]
+    assert e.parameter_types("INSERT INTO p (amount, id) VALUES ($2, ($1)), (1.5e0, $3)") == ["integer", "double", "integer"]
+    assert e.parameter_types("UPDATE p SET name = $1, amount = $2 WHERE id = $3") == ["string", "double", "integer"]
+    assert e.parameter_types("DELETE FROM p WHERE name = $1") == ["string"]
+
+
+def test_state_after_changes_is_read_from_files(spark):
+    e = Engine(spark)
+    e.execute("CREATE TABLE p (id int NOT NULL, name string, PRIMARY KEY (id)) DISTRIBUTED BY (id)")
+    for i in range(20):
+        assert e.execute(f"INSERT INTO p VALUES ({i}, 'n{i}')").row_count == 1
+    assert e.catalog.table("p").parts < 16
+    assert e.execute("INSERT INTO p VALUES (3, 'x'), (20, 'y') ON CONFLICT DO NOTHING").row_count == 1
+    assert "PushedFilters: [IsNotNull(id), GreaterThan(id,17)]" in e.explain("SELECT id FROM p WHERE id > 17")
+    assert e.execute("UPDATE p SET name = 'u' WHERE id > 17").row_count == 3
+    assert e.execute("DELETE FROM p WHERE id < 3").row_count == 3
+    plan = e.explain("SELECT id FROM p WHERE id > 17")
+    assert "GreaterThan(id,17)" in plan and "ReadSchema: struct<id:bigint>" in plan
+    assert sorted(e.execute("SELECT id, name FROM p WHERE id > 16").rows()) == [(17, "n17"), (18, "u"), (19, "u"), (20, "u")]
+    for text in ("INSERT INTO p SELECT id + 100, name FROM p", "UPDATE p SET name = 'z' WHERE id = 5", "DELETE FROM p WHERE id = 5"):
+        assert "Physical Plan" in e.explain(text)
+    assert e.execute("SELECT count(*) FROM p").rows() == [(18,)]
+
+
+def test_order_by_sees_through_scan_names(spark):
+    e = Engine(spark)
+    e.register("t", e.spark.createDataFrame([(1, "b"), (2, "A"), (3, "c")], "id bigint, name string"), primary_key=("id",))
+    assert [r[0] for r in e.execute("SELECT a.name FROM t AS a ORDER BY (lower(a.name))").rows()] == ["A", "b", "c"]
+    assert [r[0] for r in e.execute("SELECT a.id FROM t AS a ORDER BY CASE WHEN a.id > 1 THEN a.id * -1 ELSE 5 END").rows()] == [3, 2, 1]
