@@ -36,8 +36,8 @@ CAPACITY = 1024
 END_ID = 2
 #: Counts of (part, length) are broadcast up to so many rows, of 24 bytes each.
 MOST_BROADCAST = 1 << 19
-#: (groups, p): lengths of at least capacity / p are large; 0 groups: all go best-fit.
-SHAPES = ((48, 2), (96, 3), (0, 1))
+#: (groups, p): lengths of at least capacity / p are large; the plan with fewer sequences is taken.
+SHAPES = ((48, 2), (96, 3))
 
 
 def _knapsack(sizes: np.ndarray, values: np.ndarray, most: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -144,7 +144,7 @@ Runs = list[tuple[int, list[tuple[int, int]]]]
 
 
 def plan_by(histogram: np.ndarray, capacity: int, groups: int, large_part: int) -> Runs:
-    """One plan; without groups, all lengths go best-fit."""
+    """One plan; with 0 groups, for comparison, all lengths go best-fit."""
     counts = histogram.astype(np.int64)
     limit = max(2, -(-capacity // large_part)) if groups else capacity + 1
     ranks = np.zeros(capacity + 1, np.int64)
