@@ -48,7 +48,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: SQL has neither the tokenizer nor XXH64; tests hold run() against a plain Python version.
+#: SQL has neither the tokenizer nor XXH64; tests hold the stages against a planted corpus.
 ORACLE_SQL: str | None = None
 
 
