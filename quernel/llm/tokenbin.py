@@ -44,14 +44,11 @@ _HEAD = struct.Struct("<4s5I")
 SCHEMA = "shard int, block int, first_token long, n_tokens long, doc_ids array<bigint>, grammar binary"
 
 
-def _apart(live: np.ndarray, left: np.ndarray, right: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """Of pairs of one id with itself that overlap, every other one from the left: their places."""
-    own = np.sort(live[left == right])
-    if not len(own):
-        return own
+def _apart(own: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Of rising places of pairs of one id with itself: which overlap one before them, every other one from the left."""
     i = np.arange(len(own))
-    start = np.maximum.accumulate(np.where(np.append(True, after[own[:-1]] != own[1:]), i, 0))
-    return own[(i - start) % 2 == 1]
+    start = np.maximum.accumulate(np.where(np.append(True, after[own[:-1]] != own[1:]), i, 0)) if len(own) else i
+    return (i - start) % 2 == 1
 
 
 def _sorted_pairs(left: np.ndarray, right: np.ndarray, live: np.ndarray, bits: int, place: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,9 +57,18 @@ def _sorted_pairs(left: np.ndarray, right: np.ndarray, live: np.ndarray, bits: i
     if 2 * bits + place <= 64:  # one sort of numbers that hold both
         pair = pair << np.uint64(place) | live.astype(np.uint64)
         pair.sort()
-        return pair >> np.uint64(place), (pair & np.uint64((1 << place) - 1)).astype(np.int64)
+        return pair >> np.uint64(place), (pair & np.uint64((1 << place) - 1)).astype(np.int32)
     order = np.argsort(pair, kind="stable")
-    return pair[order], live[order].astype(np.int64)
+    return pair[order], live[order]
+
+
+def _grouped(left: np.ndarray, right: np.ndarray, places: np.ndarray, bits: int, place: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places by their pair, the pairs, and how many places each has; pairs of fewer than ``least`` places go."""
+    pair, at = _sorted_pairs(left, right, places, bits, place)
+    first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else np.zeros(0, np.int64)
+    count = np.diff(np.append(first, len(pair)))
+    often = count >= least
+    return at[np.repeat(often, count)], pair[first[often]], count[often]
 
 
 def repair(ids: np.ndarray, ends: np.ndarray, base: int, *, least: int = LEAST_COUNT, part: int = PART) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,8 +76,9 @@ def repair(ids: np.ndarray, ends: np.ndarray, base: int, *, least: int = LEAST_C
 
     A round takes every pair that occurs at least 1 / ``part`` as often as the most frequent one, and ``least`` times.
     Where chosen pairs overlap, the more frequent one has the place. It ends when no pair occurs ``least`` times.
-    Only places whose pair can be frequent are looked at again: those that were, and those beside a new symbol; a pair
-    of older symbols never gains an occurrence.
+    A pair of older symbols never gains an occurrence, so places stay grouped by their pair from round to round: those
+    that are lost go, and only the pairs beside a new symbol are sorted. Pairs of one id with itself are told apart
+    anew in each round, as which of them overlap changes with what is lost.
     """
     n = len(ids)
     bits, place = int(base + n // least + 1).bit_length(), max(1, n.bit_length())
@@ -79,38 +86,46 @@ def repair(ids: np.ndarray, ends: np.ndarray, base: int, *, least: int = LEAST_C
     # neighbours within the document; n is none
     after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
     after[ends - 1] = before[np.append(0, ends[:-1])] = after[n] = before[n] = n
-    live = np.flatnonzero(after[:n] < n).astype(np.int32)
-    rank_at, marked = np.zeros(n + 1, np.uint32), np.zeros(n + 1, bool)
+    rank_at, lost = np.zeros(n + 1, np.uint32), np.zeros(n + 1, bool)
+    fresh = np.flatnonzero(after[:n] < n).astype(np.int32)
+    own = fresh[:0]  # places of pairs of one id with itself
+    at, pairs, count = fresh[:0], np.zeros(0, np.uint64), np.zeros(0, np.int64)  # all others, by their pair
     rules: list[np.ndarray] = []
     made = base
-    while len(live):
-        left, right = seq[live], seq[after[live]]
-        odd = _apart(live, left, right, after)
-        if len(odd):
-            marked[odd] = True
-            stay = ~marked[live]
-            marked[odd] = False
-            live, left, right = live[stay], left[stay], right[stay]
-        pair, at = _sorted_pairs(left, right, live, bits, place)
-        first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
-        count = np.diff(np.append(first, len(pair)))
-        often = count >= least
-        if not often.any():
+    while True:
+        left, right = seq[fresh], seq[after[fresh]]
+        same = left == right
+        if same.any():
+            own = np.append(own, fresh[same])
+            fresh, left, right = fresh[~same], left[~same], right[~same]
+        own.sort()
+        odd = _apart(own, after)
+        new = _grouped(left, right, fresh, bits, place, least)
+        at, pairs, count = (np.append(x, y) for x, y in zip((at, pairs, count), new, strict=True))
+        even = own[~odd]
+        own_at, own_pairs, own_count = _grouped(seq[even], seq[even], even, bits, place, least)
+        own = np.append(own_at, own[odd])
+        most = max(count.max(initial=0), own_count.max(initial=0))
+        if not most:
             break
-        at, first, count = at[np.repeat(often, count)], first[often], count[often]
-        pick = count >= max(least, int(count.max()) // part)
-        todo, chosen, count = at[np.repeat(pick, count)], pair[first[pick]], count[pick]
-        order = np.argsort(count, kind="stable")
+        todo, chosen, often = [], [], []
+        for places, kinds, n_of in ((at, pairs, count), (own_at, own_pairs, own_count)):
+            pick = n_of >= max(least, int(most) // part)
+            todo.append(places[np.repeat(pick, n_of)])
+            chosen.append(kinds[pick])
+            often.append(n_of[pick])
+        todo, chosen, often = (np.concatenate(x) for x in (todo, chosen, often))
+        order = np.argsort(often, kind="stable")
         rank = np.empty(len(chosen), np.uint32)
         rank[order] = np.arange(1, len(chosen) + 1)
-        rank_at[todo] = np.repeat(rank, count)
+        rank_at[todo] = np.repeat(rank, often)
         todo.sort()
         use, rule = [], []
         while len(todo):  # a place goes to its pair if neither neighbour's ranks above; then to the next
-            own, a, b = rank_at[todo], before[todo], after[todo]
-            wins = (own > rank_at[a]) & (own > rank_at[b])
+            mine, a, b = rank_at[todo], before[todo], after[todo]
+            wins = (mine > rank_at[a]) & (mine > rank_at[b])
             use.append(todo[wins])
-            rule.append(order[own[wins] - 1])
+            rule.append(order[mine[wins] - 1])
             rank_at[use[-1]] = rank_at[a[wins]] = rank_at[b[wins]] = 0
             todo = todo[rank_at[todo] > 0]
         use, rule = np.concatenate(use), np.concatenate(rule)
@@ -123,16 +138,23 @@ def repair(ids: np.ndarray, ends: np.ndarray, base: int, *, least: int = LEAST_C
         seq[use] = (np.cumsum(kept) - 1 + made)[rule]
         made += len(chosen)
         gone = after[use]
-        marked[use] = marked[gone] = True
         after[use] = after[gone]
         before[after[use]] = use
         before[n] = n
-        at = np.append(at, odd)
         near = before[use]
-        near = near[near < n]
-        live = np.concatenate((at[~marked[at] & ~marked[after[at]]], near[~marked[near]], use[after[use] < n])).astype(np.int32)
-        marked[use] = False  # what is gone stays marked
-    where = np.flatnonzero(~marked[:n])
+        lost[use] = lost[gone] = True
+        near = near[(near < n) & ~lost[near]]
+        lost[near] = True
+        fresh = np.concatenate((near, use[after[use] < n]))
+        own = own[~lost[own]]
+        stay = ~lost[at]
+        if len(at):
+            first = np.cumsum(count) - count
+            still = np.add.reduceat(stay, first, dtype=np.int64)
+            often = still >= least
+            at, pairs, count = at[stay & np.repeat(often, count)], pairs[often], still[often]
+        lost[use] = lost[near] = False  # what is gone stays lost
+    where = np.flatnonzero(~lost[:n])
     return seq[where], np.flatnonzero(after[where] == n) + 1, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
 
 
