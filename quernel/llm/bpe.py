@@ -18,7 +18,6 @@ from __future__ import annotations
 import functools
 import hashlib
 import heapq
-import itertools
 import json
 import os
 import re
@@ -330,49 +329,40 @@ class LibraryBPE(RankArrayBPE):
     """Cuts and caches words as above, but every distinct word is encoded by the ``tokenizers`` library.
 
     A word of the pattern, encoded alone, gives the ids that it gives within its text; so whole texts get the
-    library's ids at the cost of their distinct words.
+    library's ids at the cost of their distinct words. Those come to the library in the vocabulary's own symbols for
+    bytes, a space between words (none of the symbols is one), which is where it cuts instead of by the pattern.
     """
 
     def __init__(self, path: str) -> None:
         super().__init__(path)
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.library = Tokenizer(Tokenizer.from_file(path).model)  # special tokens never come here
+        self.library.model._resize_cache(0)  # no word comes twice
+        self.library.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        self.symbol = np.zeros(256, np.uint32)
+        for c, b in byte_symbols().items():
+            self.symbol[b] = ord(c)
 
     def encode_words(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        data = raw.tobytes()
+        found: list[np.ndarray] = []
         n_ids = np.zeros(len(starts), np.int64)
-        found: list[tuple[np.ndarray, np.ndarray]] = []
         for at in range(0, len(starts), BLOCK_WORDS):  # an encoding of the library is far larger than its ids
-            words = [data[x:y].decode("utf-8") for x, y in zip(starts[at : at + BLOCK_WORDS].tolist(), ends[at : at + BLOCK_WORDS].tolist(), strict=True)]
-            # a space and letters are a word whatever follows, if that starts with a space: these go as one text
-            joined = [w[:1] == " " and w[1:].isalpha() for w in words]
-            here = np.flatnonzero(joined)
-            if len(here):
-                one = self.library.encode_batch_fast(["".join(w for w, j in zip(words, joined, strict=True) if j)], add_special_tokens=False)
-                ids = np.array(one[0].ids, np.uint32)
-                upto = np.cumsum(self.token_lengths[ids])  # where each id ends, in bytes
-                stop = np.cumsum((ends - starts)[at + here])
-                last = np.searchsorted(upto, stop)
-                if len(upto) and upto[-1] == stop[-1] and (upto[np.minimum(last, len(upto) - 1)] == stop).all():
-                    n_ids[at + here] = np.diff(last, prepend=-1)
-                    found.append((at + here, ids))
-                else:
-                    joined = [False] * len(words)
-            rest = np.flatnonzero(~np.array(joined, bool))
-            if len(rest):
-                ids = [x.ids for x in self.library.encode_batch_fast([words[i] for i in rest.tolist()], add_special_tokens=False)]
-                n_ids[at + rest] = np.fromiter(map(len, ids), np.int64, len(ids))
-                found.append((at + rest, np.fromiter(itertools.chain.from_iterable(ids), np.uint32)))
-        flat = np.zeros(int(n_ids.sum()), np.uint32)
-        place = np.cumsum(n_ids) - n_ids
-        for own, ids in found:
-            size = n_ids[own]
-            flat[np.arange(len(ids)) + np.repeat(place[own] - (np.cumsum(size) - size), size)] = ids
-        return n_ids, flat
+            own = slice(at, at + BLOCK_WORDS)
+            size = ends[own] - starts[own]
+            stop = np.cumsum(size)
+            text = np.full(int(stop[-1]) + len(size), 32, np.uint32)
+            text[np.arange(stop[-1]) + np.repeat(np.arange(len(size)), size)] = self.symbol[gather_spans(raw, starts[own], size)]
+            (one,) = self.library.encode_batch_fast([text.tobytes().decode("utf-32-le")], add_special_tokens=False)
+            ids = np.array(one.ids, np.uint32)
+            upto = np.cumsum(self.token_lengths[ids])  # where each id ends, in bytes
+            last = np.searchsorted(upto, stop)
+            if last[-1] != len(ids) - 1 or (upto[last] != stop).any():
+                raise ValueError("the library's ids don't stand for the bytes of the words")
+            n_ids[own] = np.diff(last, prepend=-1)
+            found.append(ids)
+        return n_ids, np.concatenate(found) if found else np.zeros(0, np.uint32)
 
 
 @functools.cache
