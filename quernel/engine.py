@@ -49,6 +49,7 @@ class Engine:
         for name, value in CONFS.items():
             self.spark.conf.set(name, value)
         self.catalog, self.buckets = Catalog(), buckets
+        self._paths: dict[str, tuple[str, dict, DataFrame]] = {}
 
     # tables and functions
 
@@ -58,7 +59,23 @@ class Engine:
 
     def read(self, name: str, path: str, **keys) -> Table:
         """A Parquet path as a table."""
-        return self.register(name, read_table(self.spark, path), **keys)
+        found = self.register(name, read_table(self.spark, path), **keys)
+        self._paths[name] = (path, keys, found.frame)
+        return found
+
+    def refresh(self, name: str | None = None) -> None:
+        """Reads a table's path anew, columns included, after files there have changed; without a name, all such tables.
+
+        A table that was changed by statements here, or was made from a DataFrame, has no files elsewhere to follow.
+        """
+        own = {k for k, (_, _, frame) in self._paths.items() if self.catalog.has(k) and self.catalog.table(k).frame is frame}
+        if name is not None and name not in own:
+            raise QueryError(f"{self.catalog.table(name).name!r} doesn't follow a path")
+        for k in own if name is None else (name,):
+            path, keys, _ = self._paths[k]
+            unique = self.catalog.table(k).unique
+            self.spark.catalog.refreshByPath(path)
+            self.read(k, path, **keys).unique.update(unique)
 
     def register_function(self, name: str, function: Any, returns: str) -> None:
         """A stable scalar function: the name of a function of Spark, or a UDF; returns: a type of the dialect."""

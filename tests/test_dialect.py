@@ -1,5 +1,6 @@
 """Results that only the dialect's own expectations pin; small tables, declared here."""
 
+import re
 from decimal import Decimal
 
 import pytest
@@ -245,3 +246,34 @@ def test_order_by_sees_through_scan_names(spark):
     e.register("t", e.spark.createDataFrame([(1, "b"), (2, "A"), (3, "c")], "id bigint, name string"), primary_key=("id",))
     assert [r[0] for r in e.execute("SELECT a.name FROM t AS a ORDER BY (lower(a.name))").rows()] == ["A", "b", "c"]
     assert [r[0] for r in e.execute("SELECT a.id FROM t AS a ORDER BY CASE WHEN a.id > 1 THEN a.id * -1 ELSE 5 END").rows()] == [3, 2, 1]
+
+
+def test_a_row_sub_query_is_planned_once(e):
+    text = "SELECT na FROM null_o WHERE (nc, na) < (SELECT max(nc), max(na) FROM null_o)"
+    assert sorted(rows(e, text)) == [(i,) for i in range(1, 9)]
+    assert rows(e, "SELECT na FROM null_o WHERE (nc, na) = (SELECT nc, na FROM null_o WHERE na = 5)") == [(5,)]
+    assert rows(e, "SELECT na FROM null_o WHERE (nc, na) >= (SELECT nc, na FROM null_o WHERE na = 100)") == []
+    plan = e.sql(text)
+    plan.collect()
+    final = plan._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert len(set(re.findall(r"subquery#(\d+)", final))) == 1
+
+
+def test_refresh_follows_a_path(spark, tmp_path):
+    own = Engine(spark)
+    path = str(tmp_path / "t")
+    own.spark.range(3).selectExpr("id", "id * 2 AS x").write.parquet(path)
+    own.read("t", path, primary_key=("id",))
+    own.execute("CREATE UNIQUE INDEX i ON t (x)")
+    assert rows(own, "SELECT count(*) FROM t") == [(3,)]
+    own.spark.range(5).selectExpr("id", "id * 2 AS x", "'new' AS y").write.mode("overwrite").parquet(path)
+    own.refresh("t")
+    assert rows(own, "SELECT y FROM t WHERE id = 4") == [("new",)] and own.catalog.table("t").unique
+    own.refresh()
+    own.execute("DELETE FROM t WHERE id = 4")
+    own.refresh()
+    assert rows(own, "SELECT count(*) FROM t") == [(4,)]
+    with pytest.raises(QueryError):
+        own.refresh("t")
+    with pytest.raises(QueryError):
+        own.refresh("nowhere")
