@@ -99,6 +99,5 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, remo
 FROM judged
 """
 
-#: What SQL can express: the others need a tokenizer, XXH64 or a trained model. Ops 3, 4, 5, 7, 8 and 9 are tested against
-#: plain Python versions; op 2 and op 6 by single cases, rates on labelled examples and, for op 2, the forest's own walk.
+#: What SQL can express: the others need a tokenizer, XXH64 or a trained model, and are tested against plain Python versions.
 ORACLE_SQL: dict[str, str] = {"op1_warc_roundtrip": _WARC, "op10_line_frequency_rules": _QUALITY}
