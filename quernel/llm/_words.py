@@ -82,25 +82,45 @@ class WordCache:
     """Word -> span of a flat value array; kept by a worker from batch to batch and from task to task.
 
     Words are told apart by all of their bytes: short ones by their two numbers in a hash table, longer ones by a
-    dictionary. At ``limit`` words, or as many bytes of longer ones as ``LONG_BYTES``, the cache starts anew, so its
-    memory is bounded; no result depends on it.
+    dictionary. At ``limit`` words, or as many bytes of longer ones as ``LONG_BYTES``, words that no later buffer had
+    go, or all where more than half of that would stay; so its memory is bounded, and no result depends on it.
     """
 
     LONG_BYTES = 1 << 22
 
     def __init__(self, dtype, limit: int = 500_000) -> None:
         self.dtype, self.limit = dtype, limit
+        self.n = self.before = 0
         self.clear()
 
     def clear(self) -> None:
+        self.before += self.n  # entries that there were ever: an entry's number is its own with this added
         self._table(1 << 14)
         self.keys = np.zeros((0, 2), np.uint64)
         self.starts = np.zeros(0, np.int64)
         self.lengths = np.zeros(0, np.int32)
+        self.again = np.zeros(1, bool)  # what later buffers had; the last one is of words that aren't there
         self.flat = np.zeros(0, self.dtype)
         self.others: dict[bytes | int, int] = {}
         self.n = self.used = self.long_bytes = 0
 
+    def _drop(self) -> None:
+        """Makes room: what was looked up again stays."""
+        stay = np.flatnonzero(self.again[: self.n])
+        number = np.full(self.n, -1)
+        number[stay] = np.arange(len(stay))
+        others = {x: int(number[i]) for x, i in self.others.items() if number[i] >= 0}
+        long_bytes = sum(len(x) for x in others if isinstance(x, bytes))
+        keys, lengths = self.keys[stay], self.lengths[stay]
+        flat = gather_spans(self.flat, self.starts[stay], lengths)
+        self.clear()
+        if 2 * len(stay) > self.limit or 2 * long_bytes > self.LONG_BYTES:
+            return
+        self._add(lengths, flat)
+        self.keys[: self.n] = keys
+        self.others, self.long_bytes = others, long_bytes
+        self._fill()
+
     def _table(self, size: int) -> None:
         self.slot_key = np.zeros((size, 2), np.uint64)
         self.slot_entry = np.full(size, -1, np.int32)
@@ -149,6 +169,8 @@ class WordCache:
         """The first of the new entries, which are numbered on. keys: of short words, else another table has them."""
         n, m, used = self.n, len(lengths), self.used
         self.keys, self.starts, self.lengths = (self._room(a, n + m) for a in (self.keys, self.starts, self.lengths))
+        self.again = self._room(self.again, n + m + 1)
+        self.again[n:] = False
         self.flat = self._room(self.flat, used + len(flat))
         self.lengths[n : n + m] = lengths
         self.starts[n : n + m] = used + np.cumsum(lengths) - lengths
@@ -157,19 +179,24 @@ class WordCache:
         self.n, self.used = n + m, used + len(flat)
         if keys is not None:
             if self.n * 2 > len(self.slot_entry):
-                size = len(self.slot_entry)
-                while self.n * 2 > size:
-                    size *= 2
-                self._table(size)
-                short = np.flatnonzero(self.keys[: self.n, 1])  # a short word has a length there
-                self._insert(self.keys[short], short.astype(np.int32))
+                self._fill()
             else:
                 self._insert(keys, np.arange(n, n + m, dtype=np.int32))
         return n
 
+    def _fill(self) -> None:
+        """A table of all short words that are there, at most half full."""
+        size = len(self.slot_entry)
+        while self.n * 2 > size:
+            size *= 2
+        self._table(size)
+        short = np.flatnonzero(self.keys[: self.n, 1])  # a short word has a length there
+        self._insert(self.keys[short], short.astype(np.int32))
+
     def _by_name(self, names: list, make) -> np.ndarray:
         """Entries by anything hashable."""
         found = np.array([self.others.get(x, -1) for x in names], np.int64)
+        self.again[found] = True
         missing = np.flatnonzero(found < 0)
         if len(missing):
             first: dict = {}
@@ -187,7 +214,7 @@ class WordCache:
         apart: number of some positions, which are told apart from words and by that number alone.
         """
         if self.n > self.limit or self.long_bytes > self.LONG_BYTES:
-            self.clear()
+            self._drop()
         size = ends - starts
         long = size > SHORT_WORD
         if apart:
@@ -198,6 +225,7 @@ class WordCache:
         if len(own):
             keys = word_keys(raw, starts[own], ends[own])
             entry = self._find(keys).astype(np.int64)
+            self.again[entry] = True
             todo = np.flatnonzero(entry < 0)
             while len(todo):
                 _, first, inverse = np.unique(keys[todo, 0] * np.uint64(0x9E3779B97F4A7C15) ^ keys[todo, 1], return_index=True, return_inverse=True)

@@ -268,9 +268,10 @@ class RankArrayBPE:
             begin, ids = begin[keep], ids[keep]
         return begin, ids
 
-    def _encode_buffer(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _encode_buffer(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+        """All ids and each text's offsets in them, then the number and the ids of every word, and each text's offsets in those."""
         if not len(raw):
-            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
         starts, special = self.spans(raw, offsets)
         ends = np.append(starts[1:], len(raw))
         apart = {int(i): int(special[i]) for i in np.flatnonzero(special >= 0)}
@@ -286,18 +287,24 @@ class RankArrayBPE:
         ids = gather_spans(self.cache.flat, self.cache.starts[entry], n_ids)
         upto = np.zeros(len(starts) + 1, np.int64)
         np.cumsum(n_ids, out=upto[1:])
-        return ids, upto[np.searchsorted(starts, offsets)]
+        at = np.searchsorted(starts, offsets)
+        return ids, upto[at], entry + self.cache.before, n_ids, at
 
     def encode(self, column: pa.Array | pa.ChunkedArray):
         """For parts of the column in order: the ids of all their texts as one array, and each text's offsets."""
+        for ids, offsets, *_ in self.encode_by_word(column):
+            yield ids, offsets
+
+    def encode_by_word(self, column: pa.Array | pa.ChunkedArray):
+        """The same, then a number for each word (words of one number have the same ids), how many ids it has, and each text's offsets in the words."""
         raw, offsets = text_buffer(column)
         for i, j in chunks(offsets):
             own = offsets[i : j + 1] - offsets[i]
             text = raw[offsets[i] : offsets[j]]
             if j - i == 1 and len(text) > 2 * CHUNK_BYTES:
-                parts = [self._encode_buffer(x, np.array([0, len(x)]))[0] for x in self._pieces(text)]
-                ids = np.concatenate(parts)
-                yield ids, np.array([0, len(ids)])
+                parts = [self._encode_buffer(x, np.array([0, len(x)])) for x in self._pieces(text)]
+                ids, number, size = (np.concatenate([x[k] for x in parts]) for k in (0, 2, 3))
+                yield ids, np.array([0, len(ids)]), number, size, np.array([0, len(size)])
             else:
                 yield self._encode_buffer(text, own)
 

@@ -3,8 +3,11 @@
 Documents are dealt to shards by ranges of their id and sorted within them; a shard is written as blocks of about
 ``BLOCK_TOKENS`` ids, each with a grammar of its own. In a block, the most frequent pairs of adjacent ids become
 nonterminals, round by round, until no pair occurs ``LEAST_COUNT`` times without overlap: the number of rounds and of
-rules has no other bound. No pair crosses the end of a document, so each document is a span of symbols of its own. The
-block stores the rules and every rule's expansion length; with those, any span of ids is expanded without the rest.
+rules has no other bound. Pairs inside the tokenizer's words come first, over the block's distinct words, each counted
+as often as it occurs; then all pairs that are left, over the whole block. A pair that occurs often both inside words
+and across their ends may so have two rules. No pair crosses the end of a document, so each document is a span of
+symbols of its own. The block stores the rules and every rule's expansion length; with those, any span of ids is
+expanded without the rest.
 
 Block format (little-endian): ``QRP2``, then unsigned 32-bit: bytes of a symbol (2 or 4), ids that occur, rules,
 documents, symbols; then the ids that occur (u32, rising; a symbol below their number stands for one of them, the
@@ -51,29 +54,43 @@ def _apart(own: np.ndarray, after: np.ndarray) -> np.ndarray:
     return (i - start) % 2 == 1
 
 
+def _take(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """values[at] for places that are all there: without that check, and a wide copy of them, it takes half the time."""
+    return values.take(at, mode="clip")
+
+
 def _sorted_pairs(left: np.ndarray, right: np.ndarray, live: np.ndarray, bits: int, place: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs in order (left above right), and their places."""
-    pair = left.astype(np.uint64) << np.uint64(bits) | right
+    pair = left.astype(np.uint64)
+    pair <<= np.uint64(bits)
+    pair |= right
     if 2 * bits + place <= 64:  # one sort of numbers that hold both
-        pair = pair << np.uint64(place) | live.astype(np.uint64)
+        pair <<= np.uint64(place)
+        pair |= live.view(np.uint32)
         pair.sort()
-        return pair >> np.uint64(place), (pair & np.uint64((1 << place) - 1)).astype(np.int32)
+        at = pair.astype(np.uint32)
+        at &= np.uint32((1 << place) - 1)
+        pair >>= np.uint64(place)
+        return pair, at.view(np.int32)
     order = np.argsort(pair, kind="stable")
     return pair[order], live[order]
 
 
-def _grouped(left: np.ndarray, right: np.ndarray, places: np.ndarray, bits: int, place: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places by their pair, the pairs, and how many places each has; pairs of fewer than ``least`` places go."""
+def _grouped(left: np.ndarray, right: np.ndarray, places: np.ndarray, bits: int, place: int, least: int, times: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places by their pair, the pairs, how many places each has, and how often they occur; pairs that occur less than ``least`` times go."""
     pair, at = _sorted_pairs(left, right, places, bits, place)
     first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else np.zeros(0, np.int64)
-    count = np.diff(np.append(first, len(pair)))
+    size = np.diff(np.append(first, len(pair)))
+    count = np.add.reduceat(_take(times, at), first, dtype=np.int64) if times is not None and len(pair) else size
     often = count >= least
-    return at[np.repeat(often, count)], pair[first[often]], count[often]
+    return _take(at, np.flatnonzero(np.repeat(often, size))), pair[first[often]], size[often], count[often]
 
 
-def repair(ids: np.ndarray, ends: np.ndarray, base: int, *, least: int = LEAST_COUNT, part: int = PART) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repair(ids: np.ndarray, ends: np.ndarray, base: int, *, least: int = LEAST_COUNT, part: int = PART, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, symbol ends of the documents, rules). ends: where each document ends in ids, rising.
 
+    times: for each id, how many times its document is there; without it, once.
+
     A round takes every pair that occurs at least 1 / ``part`` as often as the most frequent one, and ``least`` times.
     Where chosen pairs overlap, the more frequent one has the place. It ends when no pair occurs ``least`` times.
     A pair of older symbols never gains an occurrence, so places stay grouped by their pair from round to round: those
@@ -81,7 +98,7 @@ def repair(ids: np.ndarray, ends: np.ndarray, base: int, *, least: int = LEAST_C
     anew in each round, as which of them overlap changes with what is lost.
     """
     n = len(ids)
-    bits, place = int(base + n // least + 1).bit_length(), max(1, n.bit_length())
+    bits, place = int(base + (n if times is None else int(times.sum())) // least + 1).bit_length(), max(1, n.bit_length())
     seq = np.append(ids, 0).astype(np.uint32)
     # neighbours within the document; n is none
     after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
@@ -89,83 +106,100 @@ def repair(ids: np.ndarray, ends: np.ndarray, base: int, *, least: int = LEAST_C
     rank_at, lost = np.zeros(n + 1, np.uint32), np.zeros(n + 1, bool)
     fresh = np.flatnonzero(after[:n] < n).astype(np.int32)
     own = fresh[:0]  # places of pairs of one id with itself
-    at, pairs, count = fresh[:0], np.zeros(0, np.uint64), np.zeros(0, np.int64)  # all others, by their pair
+    at, pairs, size, count = fresh[:0], np.zeros(0, np.uint64), *np.zeros((2, 0), np.int64)  # all others, by their pair
     rules: list[np.ndarray] = []
     made = base
     while True:
-        left, right = seq[fresh], seq[after[fresh]]
+        left, right = _take(seq, fresh), _take(seq, _take(after, fresh))
         same = left == right
         if same.any():
             own = np.append(own, fresh[same])
-            fresh, left, right = fresh[~same], left[~same], right[~same]
+            apart = np.flatnonzero(~same)
+            fresh, left, right = (_take(x, apart) for x in (fresh, left, right))
         own.sort()
         odd = _apart(own, after)
-        new = _grouped(left, right, fresh, bits, place, least)
-        at, pairs, count = (np.append(x, y) for x, y in zip((at, pairs, count), new, strict=True))
+        new = _grouped(left, right, fresh, bits, place, least, times)
+        at, pairs, size, count = (np.append(x, y) for x, y in zip((at, pairs, size, count), new, strict=True))
         even = own[~odd]
-        own_at, own_pairs, own_count = _grouped(seq[even], seq[even], even, bits, place, least)
+        own_at, own_pairs, own_size, own_count = _grouped(seq[even], seq[even], even, bits, place, least, times)
         own = np.append(own_at, own[odd])
         most = max(count.max(initial=0), own_count.max(initial=0))
         if not most:
             break
-        todo, chosen, often = [], [], []
-        for places, kinds, n_of in ((at, pairs, count), (own_at, own_pairs, own_count)):
+        todo, chosen, places_of, often = [], [], [], []
+        for places, kinds, places_n, n_of in ((at, pairs, size, count), (own_at, own_pairs, own_size, own_count)):
             pick = n_of >= max(least, int(most) // part)
-            todo.append(places[np.repeat(pick, n_of)])
+            todo.append(_take(places, np.flatnonzero(np.repeat(pick, places_n))))
             chosen.append(kinds[pick])
+            places_of.append(places_n[pick])
             often.append(n_of[pick])
-        todo, chosen, often = (np.concatenate(x) for x in (todo, chosen, often))
+        todo, chosen, places_of, often = (np.concatenate(x) for x in (todo, chosen, places_of, often))
         order = np.argsort(often, kind="stable")
         rank = np.empty(len(chosen), np.uint32)
         rank[order] = np.arange(1, len(chosen) + 1)
-        rank_at[todo] = np.repeat(rank, often)
+        rank_at[todo] = np.repeat(rank, places_of)
         todo.sort()
         use, rule = [], []
         while len(todo):  # a place goes to its pair if neither neighbour's ranks above; then to the next
-            mine, a, b = rank_at[todo], before[todo], after[todo]
-            wins = (mine > rank_at[a]) & (mine > rank_at[b])
-            use.append(todo[wins])
-            rule.append(order[mine[wins] - 1])
-            rank_at[use[-1]] = rank_at[a[wins]] = rank_at[b[wins]] = 0
-            todo = todo[rank_at[todo] > 0]
+            mine, a, b = (_take(x, todo) for x in (rank_at, before, after))
+            wins = np.flatnonzero(mine > np.maximum(_take(rank_at, a), _take(rank_at, b)))
+            use.append(_take(todo, wins))
+            rule.append(order[_take(mine, wins) - 1])
+            rank_at[use[-1]] = rank_at[_take(a, wins)] = rank_at[_take(b, wins)] = 0
+            todo = _take(todo, np.flatnonzero(_take(rank_at, todo)))
         use, rule = np.concatenate(use), np.concatenate(rule)
-        kept = np.bincount(rule, minlength=len(chosen)) >= least  # the most frequent pair always is
+        kept = np.bincount(rule, None if times is None else times[use], len(chosen)) >= least  # the most frequent pair always is
         if not kept.all():
-            stay = kept[rule]
+            stay = np.flatnonzero(kept[rule])
             use, rule = use[stay], rule[stay]
         chosen = chosen[kept]
         rules.append(np.stack((chosen >> np.uint64(bits), chosen & np.uint64((1 << bits) - 1)), 1).astype(np.uint32))
         seq[use] = (np.cumsum(kept) - 1 + made)[rule]
         made += len(chosen)
-        gone = after[use]
-        after[use] = after[gone]
-        before[after[use]] = use
+        gone = _take(after, use)
+        to = _take(after, gone)
+        after[use] = to
+        before[to] = use
         before[n] = n
-        near = before[use]
+        near = _take(before, use)
         lost[use] = lost[gone] = True
-        near = near[(near < n) & ~lost[near]]
+        near = _take(near, np.flatnonzero((near < n) & ~_take(lost, near)))
         lost[near] = True
-        fresh = np.concatenate((near, use[after[use] < n]))
+        fresh = np.concatenate((near, _take(use, np.flatnonzero(to < n))))
         own = own[~lost[own]]
-        stay = ~lost[at]
+        stay = ~_take(lost, at)
         if len(at):
-            first = np.cumsum(count) - count
-            still = np.add.reduceat(stay, first, dtype=np.int64)
+            first = np.cumsum(size) - size
+            left_of = np.add.reduceat(stay, first, dtype=np.int64)
+            still = left_of if times is None else np.add.reduceat(_take(times, at) * stay, first, dtype=np.int64)
             often = still >= least
-            at, pairs, count = at[stay & np.repeat(often, count)], pairs[often], still[often]
+            at, pairs, size, count = _take(at, np.flatnonzero(stay & np.repeat(often, size))), pairs[often], left_of[often], still[often]
         lost[use] = lost[near] = False  # what is gone stays lost
     where = np.flatnonzero(~lost[:n])
     return seq[where], np.flatnonzero(after[where] == n) + 1, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
 
 
+def _levels(rules: np.ndarray, base: int):
+    """Ranges of rules, in order, made of ids and rules of earlier ranges alone: a rule's symbols were there in an earlier round."""
+    top = np.maximum(rules[:, 0], rules[:, 1])
+    at = 0
+    while at < len(rules):
+        stop, step = at, 1024
+        while stop < len(rules):  # in steps, so that many short ranges don't each read all that is left
+            late = np.flatnonzero(top[stop : stop + step] >= base + at)
+            if len(late):
+                stop += int(late[0])
+                break
+            stop, step = min(stop + step, len(rules)), 2 * step
+        yield at, stop
+        at = stop
+
+
 def lengths_of(rules: np.ndarray, base: int) -> np.ndarray:
     """Expansion length of each rule."""
     size = np.ones(base + len(rules), np.int64)
-    at = 0
-    while at < len(rules):  # a rule's symbols were there in an earlier round; take as many rules at once as that holds for
-        stop = at + int(np.argmax(np.append(rules[at:].max(axis=1) >= base + at, True)))
-        size[base + at : base + stop] = size[rules[at:stop, 0]] + size[rules[at:stop, 1]]
-        at = stop
+    for a, b in _levels(rules, base):
+        size[base + a : base + b] = size[rules[a:b, 0]] + size[rules[a:b, 1]]
     return size[base:]
 
 
@@ -183,14 +217,36 @@ def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
     return out.astype(np.uint32)
 
 
-def pack_block(ids: np.ndarray, ends: np.ndarray, n_ids: int) -> bytes:
-    """ids: below n_ids. Those that occur are numbered anew, so that symbols stay short."""
+def _repair_by_word(ids: np.ndarray, ends: np.ndarray, base: int, number: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``repair``, with the pairs inside words first. number, size: as in ``pack_block``."""
+    number = np.maximum(number - number.min(where=number >= 0, initial=number.max()) + 1, 0)
+    one = np.empty(int(number.max()) + 1, np.int64)
+    one[number] = np.arange(len(number))
+    own = np.flatnonzero(one[number] == np.arange(len(number)))  # a word of each number
+    one[number[own]] = np.arange(len(own))
+    kind = one[number]
+    at = np.cumsum(size)
+    words = gather_spans(ids, at[own] - size[own], size[own])
+    symbols, stop, inner = repair(words, np.cumsum(size[own]), base, times=np.repeat(np.bincount(kind).astype(np.int32), size[own]))
+    n_symbols = np.diff(stop, prepend=0)
+    upto = np.cumsum(n_symbols[kind])
+    spans = gather_spans(symbols, (stop - n_symbols)[kind], n_symbols[kind])
+    symbols, stop, outer = repair(spans, upto[np.searchsorted(at, ends)], base + len(inner))
+    return symbols, stop, np.concatenate((inner, outer))
+
+
+def pack_block(ids: np.ndarray, ends: np.ndarray, n_ids: int, words: tuple[np.ndarray, np.ndarray] | None = None) -> bytes:
+    """ids: below n_ids. Those that occur are numbered anew, so that symbols stay short.
+
+    words: a number from -1 and the count of ids, 1 at least, of each word; words of one number are alike, and none
+    reaches over a document's end. Without it, all pairs come at once.
+    """
     there = np.zeros(n_ids, bool)
     there[ids] = True
     alphabet = np.flatnonzero(there)
     base = len(alphabet)
     number = np.cumsum(there, dtype=np.uint32) - np.uint32(1)
-    symbols, at, rules = repair(number[ids], ends, base)
+    symbols, at, rules = repair(number[ids], ends, base) if words is None else _repair_by_word(number[ids], ends, base, *words)
     width = 2 if base + len(rules) <= 1 << 16 else 4
     kind = f"<u{width}"
     head = _HEAD.pack(MAGIC, width, base, len(rules), len(ends), len(symbols))
@@ -239,39 +295,51 @@ class Block:
     def ids(self) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each document's end: every rule is expanded once."""
         sizes = self.sizes()
-        flat = self.alphabet[np.append(np.arange(self.base, dtype=np.uint32), expand(self.rules.ravel(), self.rules, self.base))]
-        # ids stand for themselves; the expansion of a rule follows those of the rules before it
-        starts = np.append(np.arange(self.base), self.base + np.cumsum(self.lengths, dtype=np.int64) - self.lengths)
+        # ids stand for themselves; the expansion of a rule follows those of the rules before it, and is made of two of them
+        long = np.append(np.ones(self.base, np.int64), self.lengths)
+        starts = np.cumsum(long) - long
+        flat = np.empty(int(long.sum()), np.uint32)
+        flat[: self.base] = self.alphabet
+        for a, b in _levels(self.rules, self.base):
+            two = self.rules[a:b].ravel()
+            first = starts[self.base + a]
+            part = gather_spans(flat, starts[two], long[two])
+            flat[first : first + len(part)] = part
         return gather_spans(flat, starts[self.symbols], sizes), np.append(0, np.cumsum(sizes))[self.ends]
 
 
 def write_shards(docs: DataFrame, path: str, folder: str, *, end_id: int | None = END_ID, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> None:
     """Encodes all texts and writes the shard table to the folder."""
     tail = np.array([] if end_id is None else [end_id], np.uint32)
+    tail_word = np.array([-1]), np.array([1])  # a word of its own
 
     def run(batches):
         bpe, shard, block, before = library_encoder(path), TaskContext.get().partitionId(), 0, 0
         names: list = []
         held: list[np.ndarray] = []
+        numbers: list[np.ndarray] = []
+        lengths: list[np.ndarray] = []
         sizes: list[int] = []
         n = 0
 
         def flush():
             nonlocal block, before, n
-            data = pack_block(np.concatenate(held), np.cumsum(sizes), bpe.n_ids)
+            data = pack_block(np.concatenate(held), np.cumsum(sizes), bpe.n_ids, (np.concatenate(numbers), np.concatenate(lengths)))
             row = [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([before], pa.int64()), pa.array([n], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([data], pa.binary())]
             block, before, n = block + 1, before + n, 0
-            for x in (names, held, sizes):
+            for x in (names, held, numbers, lengths, sizes):
                 x.clear()
             return pa.RecordBatch.from_arrays(row, ["shard", "block", "first_token", "n_tokens", "doc_ids", "grammar"])
 
         for batch in batches:
             ids_of, i = batch.column(0).to_pylist(), 0
-            for ids, offsets in bpe.encode(batch.column(1)):
-                for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            for ids, offsets, number, length, at in bpe.encode_by_word(batch.column(1)):
+                for a, b, c, d in zip(offsets[:-1].tolist(), offsets[1:].tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
                     if n and n + b - a + len(tail) > block_tokens:
                         yield flush()
                     held.extend((ids[a:b], tail))
+                    numbers.extend((number[c:d], tail_word[0]))
+                    lengths.extend((length[c:d], tail_word[1]))
                     sizes.append(b - a + len(tail))
                     names.append(ids_of[i])
                     n += sizes[-1]

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 import xxhash
@@ -230,6 +231,62 @@ def test_grammars_are_complete(part):
         assert len(set(apart)) == len(apart)
 
 
+@pytest.mark.parametrize("first", [0, 10**12])
+def test_grammars_by_word(first, monkeypatch):
+    """Pairs inside words are counted over distinct words alone; the grammar is still complete over the whole block."""
+    rng = np.random.default_rng(6)
+    kinds = [rng.integers(3, 12, n).astype(np.uint32) for n in rng.integers(1, 9, 60)] + [np.full(7, 5, np.uint32)]
+    docs = [rng.integers(0, len(kinds), n) for n in (0, 1, 700, 40, 0, 300)]
+    ids = np.concatenate([np.append(np.concatenate([kinds[k] for k in d]) if len(d) else [], 2) for d in docs]).astype(np.uint32)
+    number = np.concatenate([np.append(d + first, -1) for d in docs]).astype(np.int64)
+    size = np.concatenate([[*(len(kinds[k]) for k in d), 1] for d in docs]).astype(np.int64)
+    ends = np.cumsum([sum(len(kinds[k]) for k in d) + 1 for d in docs])
+    seen, repair = [], tokenbin.repair
+    monkeypatch.setattr(tokenbin, "repair", lambda ids, *args, **more: seen.append(len(ids)) or repair(ids, *args, **more))
+    block = tokenbin.Block(tokenbin.pack_block(ids, ends, 50, (number, size)))
+    assert seen[0] == sum(len(kinds[k]) for k in set(np.concatenate(docs).tolist())) + 1 and len(seen) == 2
+    found, at = block.ids()
+    assert (found == ids).all() and (at == ends).all()
+    assert max(pair_counts(block.symbols, block.ends).values()) < tokenbin.LEAST_COUNT
+    assert [block.document(k).tolist() for k in range(len(docs))] == [x.tolist() for x in np.split(ids, ends[:-1])]
+    only_ends = tokenbin.Block(tokenbin.pack_block(np.full(9, 2, np.uint32), np.arange(1, 10), 50, (np.full(9, -1), np.ones(9, np.int64))))
+    assert only_ends.ids()[0].tolist() == [2] * 9 and only_ends.ids()[1].tolist() == list(range(1, 10))
+
+
+def test_words_of_one_number_have_the_same_ids(library):
+    """From a cache that drops words again and again, for texts of any kind and one that is cut into pieces."""
+    texts = [t for _, t in TEXTS] + ["many words, and more " * 120_000]
+    own, at = bpe.LibraryBPE(PATH), 0
+    own.cache.limit = 40
+    of: dict[int, list[int]] = {}
+    for ids, offsets, number, size, words in own.encode_by_word(pa.array(texts, pa.string())):
+        upto = np.append(0, np.cumsum(size))
+        assert (upto[words] == offsets).all() and (size > 0).all()
+        for n, a, b in zip(number.tolist(), upto[:-1].tolist(), upto[1:].tolist(), strict=True):
+            assert of.setdefault(n, ids[a:b].tolist()) == ids[a:b].tolist()
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            assert (ids[a:b] == ids_of(library, texts[at])).all()
+            at += 1
+    assert at == len(texts)
+
+
+def test_a_full_word_cache_keeps_what_comes_again():
+    """Frequent words are made once, however many others there are; these go."""
+    cache, made = _words.WordCache(np.uint8, limit=100), collections.Counter()
+    often = [b"x%d" % i for i in range(20)] + [b"a word of many letters"]
+    for turn in range(30):
+        words = often + [b"%d-%d" % (turn, i) for i in range(30)]
+        ends = np.cumsum([len(w) for w in words])
+
+        def make(new, words=words):
+            made.update(words[i] for i in new.tolist())
+            return np.ones(len(new), np.int64), np.array([words[i][-1] for i in new.tolist()], np.uint8)
+
+        entry = cache.lookup(np.frombuffer(b"".join(words), np.uint8), ends - [len(w) for w in words], ends, make)
+        assert cache.flat[cache.starts[entry]].tolist() == [w[-1] for w in words] and cache.n <= 100 + len(words)
+    assert max(made.values()) == 1
+
+
 def test_grammars_of_blocks_too_large_for_one_sort():
     rng = np.random.default_rng(3)
     ids = np.concatenate([rng.integers(0, 50, 300)] * 9).astype(np.uint32)
